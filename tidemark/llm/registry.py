@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from tidemark.llm import sentencepiece, sharding, warc
+from tidemark.llm import jaccard_join, sentencepiece, sharding, warc
 
 
 def queries() -> dict:
     return {
         "op5_warc": warc.op5_warc,
         "op7_sharding": sharding.op7_sharding,
+        "op10_jaccard_join": jaccard_join.op10_jaccard_join,
         "op8_sentencepiece": sentencepiece.op8_sentencepiece,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": warc.ORACLE}
+    return {"op5_warc": warc.ORACLE, "op10_jaccard_join": jaccard_join.ORACLE}
