@@ -107,3 +107,8 @@ def shingles(text: str | None, size: int = 5) -> set[tuple[str, ...]]:
         return set()
     k = min(size, len(w))
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+
+def hash_spans(data: bytes) -> np.ndarray:
+    """Hashes of the runs of bytes other than 0x20, in order."""
+    return _hash_block(data)[0] if data else np.empty(0, np.uint64)
