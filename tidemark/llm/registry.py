@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, embedding_dedup, jaccard_join, langid, quality, sentencepiece, sharding, warc
+from tidemark.llm import decontaminate, embedding_dedup, jaccard_join, langid, quality, secrets, sentencepiece, sharding, warc
 
 
 def queries() -> dict:
     return {
         "op5_warc": warc.op5_warc,
         "op7_sharding": sharding.op7_sharding,
+        "op1_secrets": secrets.op1_secrets,
         "op2_quality": quality.op2_quality,
         "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
         "op6_langid": langid.op6_langid,
