@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.plans import basic, htap, ssb, tpch
+from tidemark.sources.tables import views
+
+SQL_QUERIES: dict[str, str] = basic.SUBQUERIES | tpch.QUERIES | ssb.QUERIES
+
+
+def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """A query over the tables of a folder. Double quotes name identifiers, as in SQL."""
+    views(spark, sf_dir)
+    return spark.sql(text.replace('"', "`"))
+
 
 def queries() -> dict:
-    return {}
+    return basic.QUERIES | {name: lambda s, d, text=text: sql(s, d, text) for name, text in SQL_QUERIES.items()} | htap.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return basic.SQL | SQL_QUERIES | htap.SQL
