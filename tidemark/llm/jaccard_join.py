@@ -7,7 +7,9 @@
 3. Inside a tile the classes are sorted by size and cut into size bands. The first class
    of a band is its pivot and is compared with each member (links in proportion to rows,
    however large a tile is). Verified links are merged into components.
-4. Where a tile still holds more than one component, the pairs across components are
+4. Tiles that still hold more than one component get other pivots, drawn at random, in a
+   few rounds; a member is compared with its pivot where their components differ.
+5. Where a tile then still holds more than one component, all pairs across components are
    compared in blocks: sizes, then hashed bitmaps (parity of the shingles per bit; the
    differing bits bound the overlap from above), then the exact intersection.
 
@@ -65,10 +67,10 @@ def tile_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Parity of the shingles per bit; 64 to 4096 bits, at least as many as shingles up to
-    there. Half of a bitmap xor its other half is the bitmap of half as many bits."""
+    """Parity of the shingles per bit; 64 to 16,384 bits, four for each shingle up to there.
+    Half of a bitmap xor its other half is the bitmap of half as many bits."""
     bits = 64
-    while bits < len(s) and bits < 4096:
+    while bits < 4 * len(s) and bits < 16_384:
         bits *= 2
     return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").astype(np.uint8).tobytes()
 
@@ -121,17 +123,17 @@ def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
     return list(zip([0, *cut.tolist()], [*cut.tolist(), len(keys)]))
 
 
-TILE_OUT = "kind int, a binary, b binary, key long, n long"
+TILE_OUT = "kind int, a binary, b binary, key long, n long, band int"
 
 
 def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key and n. kind 0: a pivot and a member of its band; kind 1: a
-    member of a tile of three or more (written with its key for the second pass)."""
+    """Rows (key, skey, n, band) come sorted by key and n. kind 0: a pivot and a member of its
+    size band; kind 1: a member of a tile of three or more, for the later rounds."""
     key = pivot = pivot_n = None
     early: list[tuple] = []  # the first two members of the tile
     seen = 0
     for batch in batches:
-        keys, ids, ns = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_numpy()
+        keys, ids, ns, bands = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_numpy(), batch.column(3).to_numpy()
         # rows of tiles that lie wholly inside this batch and hold one row say nothing
         alone = np.ones(len(keys), bool)
         alone[1:] &= keys[1:] != keys[:-1]
@@ -141,24 +143,51 @@ def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             alone[-1] = False
         out: list[tuple] = []
         at = np.flatnonzero(~alone)
-        for i, k, n, x in zip(at.tolist(), keys[at].tolist(), ns[at].tolist(), ids.take(pa.array(at)).to_pylist()):
+        for k, n, band, x in zip(keys[at].tolist(), ns[at].tolist(), bands[at].tolist(), ids.take(pa.array(at)).to_pylist()):
             if k != key:
                 key, pivot, pivot_n, early, seen = k, x, n, [(x, n)], 1
                 continue
             seen += 1
             if 100 * pivot_n >= 80 * n:
-                out.append((0, pivot, x, k, n))
+                out.append((0, pivot, x, k, n, band))
             else:
                 pivot, pivot_n = x, n
             if seen == 2:
                 early.append((x, n))
             elif seen == 3:
-                out.extend((1, e, None, k, m) for e, m in early)
+                out.extend((1, e, None, k, m, band) for e, m in early)
             if seen >= 3:
-                out.append((1, x, None, k, n))
+                out.append((1, x, None, k, n, band))
         if out:
-            kind, a, b, k, n = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(k, pa.int64()), pa.array(n, pa.int64())], names=["kind", "a", "b", "key", "n"])
+            kind, a, b, k, n, band = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(k, pa.int64()), pa.array(n, pa.int64()), pa.array(band, pa.int32())], names=["kind", "a", "b", "key", "n", "band"])
+
+
+def _may_link(n: int, bits: np.ndarray, m: int, other: np.ndarray) -> bool:
+    width = min(len(bits), len(other))
+    apart = int(np.bitwise_count(fold(bits, width) ^ fold(other, width)).sum())
+    return bool(alike(min((n + m - apart) // 2, n, m), n, m))
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, skey, n, bits, label) sorted by key and at random within. A member is
+    paired with the first pivot of a like size if their labels differ and their bitmaps
+    allow the similarity; without such a pivot it becomes one (as many as size bands)."""
+    key, pivots = None, []
+    for batch in batches:
+        a, b = [], []
+        for k, x, n, bits, label in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            if k != key:
+                key, pivots = k, []
+            for y, m, other, lab in pivots:
+                if 100 * min(n, m) >= 80 * max(n, m):
+                    if lab != label and _may_link(n, np.frombuffer(bits, np.uint64), m, other):
+                        a.append(min(x, y))
+                        b.append(max(x, y))
+                    break
+            else:
+                pivots.append((x, n, np.frombuffer(bits, np.uint64), label))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,8 +232,8 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from between(new, new, True)
         held.append(new)
 
-    def emit(pairs: list) -> pa.RecordBatch:
-        a, b = zip(*pairs)
+    def emit(found: list) -> pa.RecordBatch:
+        a, b = zip(*((min(p), max(p)) for p in found))
         return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     out: list = []
@@ -240,15 +269,21 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.binary()), pa.array([x[i] for i in keep], pa.binary())], names=["a", "b"])
 
 
-def _links(pairs: DataFrame, docs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that hold, exactly compared. Only documents in a pair are read again as sets."""
+def _sets(pairs: DataFrame, docs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """skey, shingles of all classes in a pair; only one document of each is read again."""
     wanted = pairs.select(F.col("a").alias("skey")).union(pairs.select("b")).distinct()
     ids = sigs.groupBy("skey").agg(F.min("id").alias("id")).join(wanted, "skey").select("id")
-    arrays = written(docs.join(ids, "id", "left_semi").select("text").mapInArrow(_arrays, "skey binary, shingles binary").dropDuplicates(["skey"]).join(wanted, "skey", "left_semi"), "sets")
-    left, right = arrays.select(F.col("skey").alias("a"), F.col("shingles").alias("s")), arrays.select(F.col("skey").alias("b"), F.col("shingles").alias("t"))
-    out = written(pairs.join(right, "b").join(left, "a").select("a", "b", "s", "t").mapInArrow(_verify, "a binary, b binary"), "verified")
-    forget(arrays)
-    return out
+    return written(docs.join(ids, "id", "left_semi").select("text").mapInArrow(_arrays, "skey binary, shingles binary").dropDuplicates(["skey"]).join(wanted, "skey", "left_semi"), "sets")
+
+
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that hold, exactly compared."""
+    left, right = sets.select(F.col("skey").alias("a"), F.col("shingles").alias("s")), sets.select(F.col("skey").alias("b"), F.col("shingles").alias("t"))
+    return written(pairs.join(right, "b").join(left, "a").select("a", "b", "s", "t").mapInArrow(_verify, "a binary, b binary"), "verified")
+
+
+#: bands whose tiles get random pivots, round by round
+ROUNDS = ((0, 4), (4, 12), (12, BANDS))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,23 +303,32 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sigs = every.where("n > 0")
     classes = written(sigs.groupBy("skey").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("tiles").alias("tiles")), "classes")
 
-    rows = classes.select(F.explode("tiles").alias("key"), "skey", "n")
-    n_parts = max(shuffle_partitions(spark), classes.count() * BANDS // 1_000_000)
+    parts = shuffle_partitions(spark)
+    rows = classes.select(F.posexplode("tiles").alias("band", "key"), "skey", "n").select("key", "skey", "n", "band")
+    n_parts = max(parts, classes.count() * BANDS // 1_000_000)
     found = written(rows.repartition(n_parts, "key").sortWithinPartitions("key", "n", "skey").mapInArrow(_pivots, TILE_OUT), "tiles")
-    pairs = written(found.where("kind = 0").select("a", "b").distinct(), "pairs")
-    links = _links(pairs, docs, sigs)
+    pairs = written(found.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    sets = _sets(pairs, docs, sigs)
+    links = _links(pairs, sets)
     labels = written(connected_components(links, "a", "b"), "labels")
 
-    members = found.where("kind = 1").select("key", F.col("a").alias("skey"), "n")
-    members = members.join(labels.withColumnRenamed("node", "skey"), "skey", "left").withColumn("label", F.coalesce("label", "skey"))
-    mixed = members.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("key")
-    members = members.join(mixed, "key").join(classes.select("skey", "bits"), "skey").select("key", "skey", "n", "bits", "label")
-    more = written(members.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", "n", "skey").mapInArrow(_across, "a binary, b binary").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if more.take(1):
-        extra = _links(more, docs, sigs)
-        if extra.take(1):
-            labels = written(connected_components(links.union(extra), "a", "b"), "labels")
+    for low, high in (*ROUNDS, (0, BANDS)):
+        members = found.where(f"kind = 1 AND band >= {low} AND band < {high}").select("key", F.col("a").alias("skey"), "n")
+        members = members.join(labels.withColumnRenamed("node", "skey"), "skey", "left").withColumn("label", F.coalesce("label", "skey"))
+        mixed = members.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("key")
+        members = members.join(mixed, "key").join(classes.select("skey", "bits"), "skey").select("key", "skey", "n", "bits", "label")
+        if (low, high) == (0, BANDS):
+            dealt = members.repartition(parts, "key").sortWithinPartitions("key", "n", "skey").mapInArrow(_across, "a binary, b binary")
+        else:
+            dealt = members.repartition(parts, "key").sortWithinPartitions("key", F.xxhash64("skey", "key")).mapInArrow(_stars, "a binary, b binary")
+        more = written(dealt.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+        if more.take(1):
+            extra = _links(more, sets)
+            pairs, links = pairs.union(more), links.union(extra)
+            if extra.take(1):
+                labels = written(connected_components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(extra), "a", "b"), "labels")
     forget(found)
+    forget(sets)
 
     rooted = classes.select("skey", "id").join(labels.withColumnRenamed("node", "skey"), "skey", "left").withColumn("label", F.coalesce("label", "skey"))
     lowest = rooted.groupBy("label").agg(F.min("id").alias("component_id"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, embedding_dedup, jaccard_join, langid, quality, secrets, sentencepiece, sharding, warc
+from tidemark.llm import decontaminate, embedding_dedup, jaccard_join, langid, quality, secrets, sentencepiece, sharding, suffix_dedup, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op7_sharding": sharding.op7_sharding,
         "op1_secrets": secrets.op1_secrets,
         "op2_quality": quality.op2_quality,
+        "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
         "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
         "op6_langid": langid.op6_langid,
         "op9_decontaminate": decontaminate.op9_decontaminate,
