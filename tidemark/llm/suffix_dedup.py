@@ -177,8 +177,9 @@ def _window_min(x: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
-def ranges(text: bytes, step: int = RANGE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first start, number of starts) of the ranges of a text of at least LENGTH bytes.
+def ranges(text: bytes, step: int = RANGE) -> tuple[np.ndarray, np.ndarray]:
+    """(key, place) of the ranges of a text of at least LENGTH bytes; a place packs the first
+    start, its offset in the whole band, and the number of starts (``unpacked``).
 
     Starts with the same anchor are told apart by their distance from it, in bands of
     `step`; all starts of a band share the bytes the key is the hash of, wherever the band is
@@ -194,7 +195,7 @@ def ranges(text: bytes, step: int = RANGE) -> tuple[np.ndarray, np.ndarray, np.n
     place = (_window_min((h & ~mask) | at.astype(np.uint64), w) & mask).astype(np.int64)
     cut = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     ends, p = np.concatenate([cut[1:], [len(place)]]), place[cut]
-    keys, los, sizes = [], [], []
+    keys, places = [], []
     for k in range(0, w, step):
         last = min(k + step, w) - 1
         a, b = np.maximum(cut, p - last), np.minimum(ends, p - k + 1)
@@ -202,9 +203,12 @@ def ranges(text: bytes, step: int = RANGE) -> tuple[np.ndarray, np.ndarray, np.n
         q = p[ok]
         core = _range_hash(sums, np.maximum(q - k, 0), np.minimum(q - last + LENGTH, n))
         keys.append(mix(core + mix(h[q] + np.uint64(k))))
-        los.append(a[ok])
-        sizes.append((b - a)[ok])
-    return np.concatenate(keys).view(np.int64), np.concatenate(los), np.concatenate(sizes)
+        places.append((a[ok] << 16) | ((a[ok] - (q - last)) << 8) | (b - a)[ok])
+    return np.concatenate(keys).view(np.int64), np.concatenate(places)
+
+
+def unpacked(place: int) -> tuple[int, int, int]:
+    return place >> 16, (place >> 8) & 255, place & 255
 
 
 # ---- Spark
@@ -212,89 +216,86 @@ def ranges(text: bytes, step: int = RANGE) -> tuple[np.ndarray, np.ndarray, np.n
 def _range_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for uid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            key, lo, size = ranges(text)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), uid, np.int64)), pa.array((lo << 8) | size)], names=["key", "uid", "place"])
+            key, place = ranges(text)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), uid, np.int64)), pa.array(place)], names=["key", "uid", "place"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for uid, text, keys, places in zip(*(b.column(i) for i in range(4))):
             uid, text, keys, places = uid.as_py(), text.as_py(), keys.values.to_numpy(), places.values.to_numpy()
-            bits = [text[p >> 8 : (p >> 8) + (p & 255) + LENGTH - 1] for p in places.tolist()]
+            bits = [text[lo : lo + size + LENGTH - 1] for lo, _, size in map(unpacked, places.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in bits], pa.binary()), pa.array(keys), pa.array(np.full(len(bits), uid, np.int64)), pa.array(places), pa.array(bits, pa.binary())],
                 names=["h", "key", "uid", "place", "bytes"],
             )
 
 
-def _sorted_group(items: list[tuple[int, bytes, int]], out: dict[int, np.ndarray], chunk: int) -> None:
-    """items: (number, bytes, count), all of one key. A group too large for one string is cut
-    into single starts' neighbourhoods that share longer cores, until it fits."""
-    if sum(len(x[1]) for x in items) <= chunk or max(len(x[1]) for x in items) == LENGTH:
-        uniq: dict[bytes, list] = {}
-        for number, data, count in items:
-            uniq.setdefault(data, [0, []])
-            uniq[data][0] += count
-            uniq[data][1].append(number)
-        if max(map(len, uniq)) == LENGTH:  # single strings: equal ones are one here
-            for data, (count, numbers) in uniq.items():
-                for number in numbers:
-                    out[number] = np.array([count > 1])
-            return
-        texts = list(uniq)
-        for data, hit in zip(texts, repeated(texts, [uniq[x][0] for x in texts])):
-            for number in uniq[data][1]:
-                out[number] = hit[: len(data) - LENGTH + 1]
-        return
-    width = max(1, (max(len(x[1]) for x in items) - LENGTH + 1) // 8)
-    groups: dict[bytes, list] = {}
-    for number, data, count in items:
-        out[number] = np.zeros(len(data) - LENGTH + 1, bool)
-        for lo in range(0, len(data) - LENGTH + 1, width):
-            size = min(width, len(data) - LENGTH + 1 - lo)
-            part = data[lo : lo + size + LENGTH - 1]
-            for i in range(size) if size < width or width == 1 else (None,):
-                if i is None:
-                    groups.setdefault(b"*" + part[width - 1 : LENGTH], []).append((number, lo, part, count))
-                else:
-                    groups.setdefault(b"1" + part[i : i + LENGTH], []).append((number, lo + i, part[i : i + LENGTH], count))
-    for name, found in groups.items():
+def _sorted_group(items: list[tuple[int, bytes, int, int]], chunk: int, widths: tuple[int, ...] = (8, 1)) -> dict[int, np.ndarray]:
+    """items: (number, bytes, count, offset in the band), all of one key. A group too large for
+    one string is cut into narrower bands, each with the longer core its starts share."""
+    starts = lambda data: len(data) - LENGTH + 1
+    equal: dict[bytes, list] = {}
+    for number, data, count, _ in items:
+        of = equal.setdefault(data, [0, []])
+        of[0] += count
+        of[1].append(number)
+    out: dict[int, np.ndarray] = {}
+    if not widths or sum(map(len, equal)) <= chunk:
+        texts = list(equal)
+        # at width 1 all strings of a key are one and the same
+        hits = repeated(texts, [equal[x][0] for x in texts]) if widths or len(texts) > 1 else [np.array([equal[texts[0]][0] > 1])]
+        for data, hit in zip(texts, hits):
+            for number in equal[data][1]:
+                out[number] = hit[: starts(data)]
+        return out
+    width = widths[0]
+    groups: dict[tuple[int, bytes], list] = {}
+    for number, data, count, off in items:
+        out[number] = np.zeros(starts(data), bool)
+        for band in range(off // width, (off + starts(data) - 1) // width + 1):
+            a, b = max(off, band * width), min(off + starts(data), (band + 1) * width)
+            core = data[(band + 1) * width - 1 - off : band * width - off + LENGTH] if width > 1 else data[a - off : a - off + LENGTH]
+            groups.setdefault((band, core), []).append((number, a - off, data[a - off : b - off + LENGTH - 1], count, a - band * width))
+    for found in groups.values():
         if len(found) == 1 and found[0][3] == 1:
             continue
-        below: dict[int, np.ndarray] = {}
-        _sorted_group([(j, part, count) for j, (_, _, part, count) in enumerate(found)], below, chunk)
-        for j, hit in below.items():
-            number, lo, _, _ = found[j]
+        for j, hit in _sorted_group([(j, part, count, off) for j, (_, _, part, count, off) in enumerate(found)], chunk, widths[1:]).items():
+            number, lo = found[j][:2]
             out[number][lo : lo + len(hit)] |= hit
+    return out
 
 
 def _sort(chunk: int):
     def flush(held: list[tuple[bytes, list]]) -> Iterator[pa.RecordBatch]:
-        """held: keys with their (h, bytes, count) rows."""
+        """held: keys with their (h, bytes, count, offset) rows."""
         rows = [r for _, group in held for r in group]
-        masks: dict[int, np.ndarray] = {}
         if len(held) == 1:
-            _sorted_group([(i, r[1], r[2]) for i, r in enumerate(rows)], masks, chunk)
+            masks = _sorted_group([(i, *r[1:]) for i, r in enumerate(rows)], chunk)
         else:
-            for i, hit in enumerate(repeated([r[1] for r in rows], [r[2] for r in rows])):
-                masks[i] = hit[: len(rows[i][1]) - LENGTH + 1]
+            masks = {i: hit[: len(rows[i][1]) - LENGTH + 1] for i, hit in enumerate(repeated([r[1] for r in rows], [r[2] for r in rows]))}
         keep = [i for i in range(len(rows)) if masks[i].any()]
         yield pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in keep], pa.binary()), pa.array([np.packbits(masks[i]).tobytes() for i in keep], pa.binary())], names=["h", "mask"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, key = [], 0, None
+        held, size, last, key = [], 0, 0, None  # whole keys and their bytes; last: bytes of the newest
         for b in batches:
-            for k, h, data, count in zip(*(b.column(i).to_pylist() for i in range(4))):
+            for k, h, data, count, place in zip(*(b.column(i).to_pylist() for i in range(5))):
                 if k != key:
-                    if size >= chunk:
-                        yield from flush(held)
-                        held, size = [], 0
                     if held and len(held[-1][1]) == 1 and held[-1][1][0][2] == 1:  # alone in its key: no repeat
-                        size -= len(held.pop()[1][0][1])
+                        held.pop()
+                    elif held and size and size + last > chunk:  # the newest doesn't fit with the others
+                        yield from flush(held[:-1])
+                        held, size = held[-1:], last
+                    else:
+                        size += last
                     held.append((k, []))
-                    key = k
-                held[-1][1].append((h, data, count))
-                size += len(data)
+                    key, last = k, 0
+                held[-1][1].append((h, data, count, unpacked(place)[1]))
+                last += len(data)
+        if len(held) > 1 and size + last > chunk:
+            yield from flush(held[:-1])
+            held = held[-1:]
         if held:
             yield from flush(held)
 
@@ -309,7 +310,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = len(text)
             step = np.zeros(n + 1, np.int32)
             for f in found or ():
-                at = (f["place"] >> 8) + np.flatnonzero(np.unpackbits(np.frombuffer(f["mask"], np.uint8)))
+                at = unpacked(f["place"])[0] + np.flatnonzero(np.unpackbits(np.frombuffer(f["mask"], np.uint8)))
                 np.add.at(step, at, 1)
                 np.add.at(step, at + LENGTH, -1)
             gone = np.cumsum(step)[:-1] > 0
@@ -340,8 +341,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = found.join(texts.select("uid", "text"), "uid").select("uid", "text", F.col("f.key").alias("keys"), F.col("f.place").alias("places"))
     contexts = written(found.mapInArrow(_contexts, "h binary, key long, uid long, place long, bytes binary"), "contexts")
     forget(keys)
-    distinct = contexts.groupBy("h").agg(F.first("key").alias("key"), F.first("bytes").alias("bytes"), F.count("*").alias("n"))
-    masks = written(distinct.select("key", "h", "bytes", "n").repartition(max(parts, 32), "key").sortWithinPartitions("key").mapInArrow(_sort(chunk_bytes), "h binary, mask binary"), "masks")
+    distinct = contexts.groupBy("h").agg(F.first("key").alias("key"), F.first("bytes").alias("bytes"), F.first("place").alias("place"), F.count("*").alias("n"))
+    masks = written(distinct.select("key", "h", "bytes", "n", "place").repartition(max(parts, 32), "key").sortWithinPartitions("key").mapInArrow(_sort(chunk_bytes), "h binary, mask binary"), "masks")
     hits = contexts.select("h", "uid", "place").join(masks, "h").groupBy("uid").agg(F.collect_list(F.struct("place", "mask")).alias("f"))
     whole = texts.where("n > 1").select("sha", F.octet_length("text").cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), F.array(F.lit(0).cast("long"), F.octet_length("text").cast("long")).alias("spans"))
     partly = texts.where("n = 1").select("sha", "uid", "text").join(hits, "uid").select("sha", "text", "f").mapInArrow(_removed, "sha binary, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
