@@ -175,7 +175,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
     sizes = sorted(((r["count"], r["n"]) for r in rows.where("fine").groupBy(F.size("v").alias("n")).count().collect()), reverse=True)
-    dim = sizes[0][1] if sizes else 0
+    if not sizes:
+        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    dim = sizes[0][1]
     # 0.0 and -0.0 are one value in a key
     rows = written(rows.withColumn("fine", F.col("fine") & (F.size("v") == dim)).withColumn("vkey", F.when(F.col("fine"), F.sha2(F.to_json(F.transform("v", lambda x: x + F.lit(0.0))), 256))), "vectors")
     good = rows.where("fine")

@@ -5,10 +5,12 @@ partition with all its bytes in one of the k subsets; the two partials with the
 largest spread (largest minus smallest subset) are combined over and over, the
 heaviest subset of one with the lightest of the other, until one is left.
 
-The differencing is done in two levels so that no task holds all groups: blocks of
-about ``block_groups`` groups are differenced each in one task, which leaves k sums a
-block; the blocks' partials are then differenced on the driver (k numbers for each
-``block_groups`` groups: 16 longs for every 50,000 groups).
+The differencing is done in two levels so that no task holds all groups. Groups of more
+than a thousandth of a shard go to the last level as they are (there can't be more than
+1,000 for each shard). The small ones are dealt to blocks, at least 1,000, each differenced
+in one task into k bundles of equal bytes. Large groups and bundles are then differenced on
+the driver, each as one number: at most 2,000 for each shard, and beyond that one for each
+``block_groups`` / k groups.
 """
 
 from __future__ import annotations
@@ -25,6 +27,10 @@ from pyspark.sql import functions as F
 from tidemark.llm._common import shared_root, ship, shuffle_partitions, table, written
 
 
+#: groups of more than 1/LARGE of a shard aren't differenced in blocks
+LARGE = 1000
+
+
 def difference(partials: list[list[int]], k: int) -> tuple[np.ndarray, list[int]]:
     """partials: up to k subset sums each. Returns the final subset of each subset of
     each partial, as [partial, subset], and the k sums in descending order. Ties go by
@@ -67,26 +73,26 @@ def difference(partials: list[list[int]], k: int) -> tuple[np.ndarray, list[int]
     return np.array([index.get(root(x), 0) for x in range(n * k)], np.int32).reshape(n, k), sums_
 
 
-def _difference_block(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+def _difference_blocks(k: int):
+    """Rows (block, gkey, gsize), whole blocks in a partition."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         t = pa.Table.from_batches(held)
-        keys, sizes = t["gkey"].to_numpy(), t["gsize"].to_numpy()
-        order = np.lexsort((keys, -sizes))
-        keys, sizes = keys[order], sizes[order]
-        where, _ = difference([[int(s)] for s in sizes], k)
-        block = np.full(len(keys), TaskContext.get().partitionId(), np.int32)
-        for i in range(0, len(keys), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000]), pa.array(sizes[i : i + 100_000]), pa.array(block[i : i + 100_000]), pa.array(where[i : i + 100_000, 0])], names=["gkey", "gsize", "block", "part"])
+        blocks, keys, sizes = (t[c].to_numpy() for c in ("block", "gkey", "gsize"))
+        order = np.lexsort((keys, -sizes, blocks))
+        blocks, keys, sizes = blocks[order], keys[order], sizes[order]
+        cut = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
+        for a, b in zip(cut, cut[1:]):
+            where, _ = difference([[s] for s in sizes[a:b].tolist()], k)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[a:b]), pa.array(sizes[a:b]), pa.array(blocks[a:b].astype(np.int64) * k + where[:, 0])], names=["gkey", "gsize", "bundle"])
 
     return run
 
 
-def balanced_shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", block_groups: int = 50_000) -> DataFrame:
+def balanced_shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", block_groups: int = 250_000) -> DataFrame:
     """One row for each row of docs: id, size, text_crc32, shard, slot.
 
     size: UTF-8 bytes of the text plus 1 (a null text counts as no bytes; its rows are
@@ -112,13 +118,19 @@ def balanced_shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id",
     )
     groups = written(slim.groupBy("gkey").agg(F.sum("size").alias("gsize")), "shard-groups")
     n_groups, n_rows = groups.count(), slim.count()
-    n_blocks = max(1, math.ceil(n_groups / block_groups))
-    placed = written(groups.repartition(n_blocks, "gkey").mapInArrow(_difference_block(n_shards), "gkey long, gsize long, block int, part int"), "shard-blocks")
-    sums = placed.groupBy("block", "part").agg(F.sum("gsize").alias("s")).groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("part", "s"))).alias("s"))
-    rows = sorted(sums.collect(), key=lambda r: r["block"])  # n_shards numbers a block
-    where, _ = difference([[int(r["s"].get(j, 0)) for j in range(n_shards)] for r in rows], n_shards)
-    final = spark.createDataFrame([(r["block"], j, int(where[i, j])) for i, r in enumerate(rows) for j in range(n_shards)], "block int, part int, shard int")
-    shard_of = placed.join(final, ["block", "part"]).select("gkey", "shard")
+    n_blocks = max(LARGE, math.ceil(n_groups / block_groups))
+    limit = (groups.agg(F.sum("gsize")).first()[0] or 0) // (n_shards * LARGE)
+    large = [(r["gkey"], r["gsize"]) for r in groups.where(F.col("gsize") > limit).collect()]  # n_shards * LARGE at most
+    small = groups.where(F.col("gsize") <= limit).select(F.pmod(F.xxhash64("gkey"), F.lit(n_blocks)).alias("block"), "gkey", "gsize")
+    parts = max(shuffle_partitions(spark), n_groups // 1_000_000)
+    bundled = written(small.repartition(parts, "block").mapInArrow(_difference_blocks(n_shards), "gkey long, gsize long, bundle long"), "shard-bundles")
+    bundles = [tuple(r) for r in bundled.groupBy("bundle").agg(F.sum("gsize")).collect()]  # n_shards * n_blocks at most
+    items = sorted([(-n, 0, key) for key, n in large] + [(-n, 1, bundle) for bundle, n in bundles])
+    where, _ = difference([[-n] for n, _, _ in items], n_shards)
+    found = [(kind, key, int(where[i, 0])) for i, (_, kind, key) in enumerate(items)]
+    direct = spark.createDataFrame([(key, shard) for kind, key, shard in found if kind == 0], "gkey long, shard int")
+    of_bundle = spark.createDataFrame([(key, shard) for kind, key, shard in found if kind == 1], "bundle long, shard int")
+    shard_of = bundled.join(of_bundle, "bundle").select("gkey", "shard").union(direct)
 
     n_buckets = max(math.ceil(n_rows / (n_shards * 50_000)), math.ceil(shuffle_partitions(spark) / n_shards))
     dealt = written(slim.join(shard_of, "gkey").withColumn("bucket", F.pmod(F.xxhash64("id", "size"), F.lit(n_buckets)).cast("int")), "shard-dealt")
