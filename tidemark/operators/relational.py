@@ -93,3 +93,11 @@ def latest(df: DataFrame, keys: list[str], *by: str) -> DataFrame:
     """For each key the row that is last by the columns."""
     w = Window.partitionBy(*keys).orderBy(*(F.col(c).desc_nulls_last() for c in by))
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def semi_reduction(probe: DataFrame, build: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
+    """The probe rows that can match: what a Bloom filter of the build keys would pass, without
+    its false positives. Spark adds its own runtime filters to large joins; this is for
+    scans whose reduced rows are used more than once."""
+    small = build.select(*(F.col(b).alias(f"_k{i}") for i, (_, b) in enumerate(keys))).distinct()
+    return probe.join(small, [F.col(a) == F.col(f"_k{i}") for i, (a, _) in enumerate(keys)], "left_semi")
