@@ -40,61 +40,59 @@ class Index:
     def __init__(self, ids: list, texts: list[str | None], threshold: float):
         self.threshold = threshold
         hashes = [np.unique(shingle_hashes(w, SHINGLE)) for w in word_hashes([None if t is None else t.encode() for t in texts])]
-        self.items: list[tuple] = []  # id, words a shingle, hashes, shingles
-        minima: dict[int, dict[int, list[tuple[int, int]]]] = {}  # words a shingle: hash: (item, U)
+        self.items: list[tuple] = []  # id, words, words a shingle, hashes, U
+        minima: dict[int, list[tuple[np.ndarray, int]]] = {}  # by words a shingle: an item's bin minima
         for x, t, h in zip(ids, texts, hashes):
             if not len(h):
                 continue
             w = words(t)
             k = min(SHINGLE, len(w))
-            upper = 1 << max(0, math.ceil(math.log2(len(h))))
-            item = len(self.items)
-            self.items.append((x, k, h, {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}))
             bins = h & np.uint64(BINS - 1)
             order = np.lexsort((h, bins))
             first = np.concatenate([[True], bins[order][1:] != bins[order][:-1]])
-            for m in h[order][first].tolist():
-                minima.setdefault(k, {}).setdefault(m, []).append((item, upper))
+            minima.setdefault(k, []).append((h[order][first], len(self.items)))
+            self.items.append((x, w, k, h, 1 << max(0, math.ceil(math.log2(len(h))))))
         self.by_k = {}
         for k, found in minima.items():
-            keys = np.array(sorted(found), np.uint64)
+            keys = np.concatenate([m for m, _ in found])
+            owner = np.concatenate([np.full(len(m), item, np.int32) for m, item in found])
+            order = np.argsort(keys, kind="stable")
+            keys, owner = keys[order], owner[order]
             seen = np.zeros(1 << 20, bool)
             seen[(keys >> np.uint64(44)).astype(np.int64)] = True
-            self.by_k[k] = (keys, seen, found)
+            self.by_k[k] = (keys, seen, owner)
 
     def matches(self, w: np.ndarray, text: str) -> list[tuple]:
         """(item id, shared shingles, item's shingles) of the items contained in a document of words w."""
         out, spelled = [], None
-        for k, (keys, seen, found) in self.by_k.items():
+        for k, (keys, seen, owner) in self.by_k.items():
             if len(w) < k:
                 continue
             h = shingle_hashes(w, k)
             at = np.flatnonzero(seen[(h >> np.uint64(44)).astype(np.int64)])
             if not len(at):
                 continue
-            where = np.searchsorted(keys, h[at])
-            where[where == len(keys)] = 0
-            at = at[keys[where] == h[at]]
-            if not len(at):
-                continue
+            low, high = np.searchsorted(keys, h[at]), np.searchsorted(keys, h[at], side="right")
             candidates: set[int] = set()
-            for i in at.tolist():
+            for i, a, b in zip(at[low < high].tolist(), low[low < high].tolist(), high[low < high].tolist()):
                 v = h[i]
-                for item, upper in found[int(v)]:
+                for item in owner[a:b].tolist():
                     if item in candidates:
                         continue
+                    upper = self.items[item][4]
                     for start in {max(0, i // upper - 1) * upper, i // upper * upper}:
                         window = h[start : start + 2 * upper]
                         same = window[(window & np.uint64(BINS - 1)) == (v & np.uint64(BINS - 1))]
                         if same.min() == v:
                             candidates.add(item)
                             break
-            own = np.unique(h)
+            own = np.unique(h) if candidates else h
             for item in sorted(candidates):
-                x, _, need, exact = self.items[item]
+                x, item_words, _, need, _ = self.items[item]
                 if np.isin(need, own, assume_unique=True).sum() < self.threshold * len(need) - 1e-9:
                     continue
                 spelled = spelled or words(text)
+                exact = {tuple(item_words[i : i + k]) for i in range(len(item_words) - k + 1)}
                 shared = len(exact & {tuple(spelled[i : i + k]) for i in range(len(spelled) - k + 1)})
                 if shared >= self.threshold * len(exact) - 1e-9:
                     out.append((x, shared, len(exact)))
