@@ -83,8 +83,8 @@ def _keyed(dim: int, bits: int, tables: int):
 
 
 def _bucket_links(dim: int, bits: int, tables: int, threshold: float, sigmas: float):
-    """Rows (bucket, side, id, v, weight), sorted by bucket and side, where side 0 and 1 are
-    two blocks of a large bucket and 2 a block compared with itself. Out: for each vector
+    """Rows (bucket, low, high, side, id, v, weight), sorted by the first four: two blocks of a
+    bucket (sides 0 and 1), or one that is compared with itself (side 2). Out: for each vector
     with a link its linked weight and the smallest id it is linked with here."""
     planes = rotations(dim, bits, tables)
     rotation = np.linalg.qr(np.random.default_rng(SEED).standard_normal((dim, dim)))[0]
@@ -121,12 +121,12 @@ def _bucket_links(dim: int, bits: int, tables: int, threshold: float, sigmas: fl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for b in batches:
-                bucket, side = b.column(0).to_numpy(), b.column(1).to_numpy()
-                ids, w, v = b.column(2).to_numpy(), b.column(4).to_numpy(), _matrix(b.column(3), dim)
-                cut = [0, *(np.flatnonzero((bucket[1:] != bucket[:-1]) | (side[1:] != side[:-1])) + 1).tolist(), len(bucket)]
+                key = np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(4)])
+                ids, w, v = b.column(4).to_numpy(), b.column(6).to_numpy(), _matrix(b.column(5), dim)
+                cut = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), len(ids)]
                 for lo, hi in zip(cut, cut[1:]):
                     if hi > lo:
-                        yield (int(bucket[lo]), int(side[lo])), (ids[lo:hi], v[lo:hi], w[lo:hi])
+                        yield (tuple(key[:3, lo].tolist()), int(key[3, lo])), (ids[lo:hi], v[lo:hi], w[lo:hi])
 
         def groups():
             key, held = None, []
@@ -141,7 +141,7 @@ def _bucket_links(dim: int, bits: int, tables: int, threshold: float, sigmas: fl
 
         first = None
         for (bucket, side), group in groups():
-            t = (bucket >> 32) & 0xFFFF
+            t = bucket[0] >> 32
             if side == 2:
                 found = compare(t, group, group, True)
             elif side == 0:
@@ -189,13 +189,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     blocks = keyed.groupBy("bucket").agg(F.ceil(F.count("*") / block).alias("nb"), F.count("*").alias("n")).where("n > 1").select("bucket", "nb")
     dealt = keyed.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), F.col("nb")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))
-    dealt = dealt.select("bucket", "id", "own", "nb", other.alias("other")).select(
-        (F.col("bucket") + (F.least("own", "other") * F.col("nb") + F.greatest("own", "other")) * F.lit(1 << 48)).alias("bucket"),
-        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("int").alias("side"),
-        "id",
-    )
-    with_v = dealt.join(distinct.select(F.col("node").alias("id"), "v", "weight"), "id").select("bucket", "side", "id", "v", "weight")
-    found = written(with_v.repartition(parts, "bucket").sortWithinPartitions("bucket", "side", "id").mapInArrow(_bucket_links(dim, bits, tables, threshold, sigmas), "id long, linked long, least long"), "bucket-links")
+    dealt = dealt.select("bucket", "id", "own", other.alias("other")).select(
+        "bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("int").alias("side"), "id",
+    )
+    with_v = dealt.join(distinct.select(F.col("node").alias("id"), "v", "weight"), "id").select("bucket", "low", "high", "side", "id", "v", "weight")
+    found = written(with_v.repartition(parts, "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "side", "id").mapInArrow(_bucket_links(dim, bits, tables, threshold, sigmas), "id long, linked long, least long"), "bucket-links")
     totals = found.groupBy("id").agg(F.sum("linked").alias("linked"))
     labels = connected_components(found.select("id", "least"), "id", "least")
     out = distinct.join(totals.withColumnRenamed("id", "node"), "node", "left").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
