@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -36,9 +37,26 @@ def fresh(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+#: what this process has written; deleted when it ends, since lazy results may read it until then
+_owned: list[tuple] = []
+
+
+def _delete(sc, path: str) -> None:
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jvm.org.apache.spark.deploy.SparkHadoopUtil.get().conf()).delete(p, True)
+
+
+@atexit.register
+def _clean() -> None:
+    for sc, path in _owned:
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            _delete(sc, path)
+
+
 def written(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage, survives lost executors."""
     path = path or fresh(df.sparkSession, tag)
+    _owned.append((df.sparkSession.sparkContext, path))
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tidemark_path = path
@@ -47,10 +65,7 @@ def written(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
 
 def forget(df: DataFrame) -> None:
     """Deletes what ``written`` wrote; only once nothing reads it any more."""
-    path = df._tidemark_path
-    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(conf).delete(p, True)
+    _delete(df.sparkSession.sparkContext, df._tidemark_path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
