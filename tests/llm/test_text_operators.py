@@ -264,14 +264,14 @@ def removed(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("chunk", [suffix_dedup.CHUNK, 700])
-def test_removal_against_counting(spark, chunk):
+@pytest.mark.parametrize("chunk,many", [(suffix_dedup.CHUNK, suffix_dedup.MANY), (700, 1), (2000, 3)])
+def test_removal_against_counting(spark, chunk, many):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 8)))
     passage, edge = " ".join(word() for _ in range(70)), " ".join(word() for _ in range(40))[:199]
     rows = [(i, " ".join(word() for _ in range(rng.randint(0, 60))) + passage + " ".join(word() for _ in range(rng.randint(0, 60)))) for i in range(25)]
     rows += [(100 + i, word() + edge + word()) for i in range(5)] + [(200, "ab" * 400), (201, "z" * 199), (202, "z" * 200), (203, "y" * 201), (204, None), (205, ""), (206, passage * 3), (207, rows[0][1]), (None, "q" * 500)]
-    got = suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=chunk).collect()
+    got = suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=chunk, many=many).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=repr) == removed(rows)
     assert all(sum(b - a for a, b in zip(r.spans[::2], r.spans[1::2])) == r.n_removed for r in got)
 

@@ -7,8 +7,9 @@ smallest hash among their 64-byte windows. So strings are sorted where they can
    its anchor; the starts of an anchor are cut into ranges of at most 69, and a range is
    keyed by the hash of its core, the bytes that all its strings share. Keys that occur
    once can hold no repeat and are dropped (counted over all texts; hashes only travel).
-2. The bytes of the remaining ranges, equal ones once, are brought together by key. A key
-   with more bytes than fit a chunk has its ranges cut finer, with longer cores.
+2. The bytes of the remaining ranges, equal ones once, are brought together by key. Where
+   very many different ranges have one key (a passage in very many documents), they are cut
+   into narrower bands of 8 starts and of 1, which have longer cores and so other keys.
 3. Each partition of keys is a string, and its suffix array is built by the difference
    cover algorithm with period 3: the triples at positions 1 and 2 modulo 3 are sorted and
    named, the string of names is sorted by recursion, the suffixes at 0 modulo 3 are sorted
@@ -38,6 +39,8 @@ LENGTH = 200
 GRAM = 64
 RANGE = 69
 CHUNK = 1_000_000
+#: different ranges of one key above which they are cut into narrower bands
+MANY = 256
 
 
 # ---- the difference cover algorithm
@@ -231,56 +234,55 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _sorted_group(items: list[tuple[int, bytes, int, int]], chunk: int, widths: tuple[int, ...] = (8, 1)) -> dict[int, np.ndarray]:
-    """items: (number, bytes, count, offset in the band), all of one key. A group too large for
-    one string is cut into narrower bands, each with the longer core its starts share."""
-    starts = lambda data: len(data) - LENGTH + 1
-    equal: dict[bytes, list] = {}
-    for number, data, count, _ in items:
-        of = equal.setdefault(data, [0, []])
-        of[0] += count
-        of[1].append(number)
-    out: dict[int, np.ndarray] = {}
-    if not widths or sum(map(len, equal)) <= chunk:
-        texts = list(equal)
-        # at width 1 all strings of a key are one and the same
-        hits = repeated(texts, [equal[x][0] for x in texts]) if widths or len(texts) > 1 else [np.array([equal[texts[0]][0] > 1])]
-        for data, hit in zip(texts, hits):
-            for number in equal[data][1]:
-                out[number] = hit[: starts(data)]
-        return out
-    width = widths[0]
-    groups: dict[tuple[int, bytes], list] = {}
-    for number, data, count, off in items:
-        out[number] = np.zeros(starts(data), bool)
-        for band in range(off // width, (off + starts(data) - 1) // width + 1):
-            a, b = max(off, band * width), min(off + starts(data), (band + 1) * width)
-            core = data[(band + 1) * width - 1 - off : band * width - off + LENGTH] if width > 1 else data[a - off : a - off + LENGTH]
-            groups.setdefault((band, core), []).append((number, a - off, data[a - off : b - off + LENGTH - 1], count, a - band * width))
-    for found in groups.values():
-        if len(found) == 1 and found[0][3] == 1:
-            continue
-        for j, hit in _sorted_group([(j, part, count, off) for j, (_, _, part, count, off) in enumerate(found)], chunk, widths[1:]).items():
-            number, lo = found[j][:2]
-            out[number][lo : lo + len(hit)] |= hit
-    return out
+def _pieces(width: int):
+    """Rows (h, key, bytes, place) of ranges with the narrower bands they consist of: (parent,
+    lo, h, key, bytes, place); place's offset is the piece's in its own band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                out = []
+                for h, key, data, place in zip(*(c.to_pylist() for c in batch.slice(start, 1000).columns)):
+                    _, off, size = unpacked(place)
+                    for band in range(off // width, (off + size - 1) // width + 1):
+                        a, b = max(off, band * width), min(off + size, (band + 1) * width)
+                        core = data[(band + 1) * width - 1 - off : band * width - off + LENGTH]
+                        part = data[a - off : b - off + LENGTH - 1]
+                        new = int.from_bytes(hashlib.blake2b(core, digest_size=8, salt=key.to_bytes(8, "little", signed=True), person=bytes([width, band])).digest(), "little", signed=True)
+                        own = hashlib.blake2b(part, digest_size=16, salt=new.to_bytes(8, "little", signed=True)).digest()
+                        out.append((h, a - off, own, new, part, ((a - band * width) << 8) | (b - a)))
+                parent, lo, own, new, part, place = zip(*out) if out else ((),) * 6
+                yield pa.RecordBatch.from_arrays([pa.array(parent, pa.binary()), pa.array(lo, pa.int32()), pa.array(own, pa.binary()), pa.array(new, pa.int64()), pa.array(part, pa.binary()), pa.array(place, pa.int64())], names=["parent", "lo", "h", "key", "bytes", "place"])
+
+    return run
+
+
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (parent, [(lo, mask)]): the parents' masks."""
+    for batch in batches:
+        out = []
+        for parent, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            mask = np.zeros(256, np.uint8)
+            for f in found:
+                bits = np.unpackbits(np.frombuffer(f["mask"], np.uint8))
+                mask[f["lo"] : f["lo"] + len(bits)] |= bits[: 256 - f["lo"]]
+            out.append((parent, np.packbits(mask[: int(np.flatnonzero(mask)[-1]) + 1]).tobytes()))
+        parent, mask = zip(*out) if out else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(parent, pa.binary()), pa.array(mask, pa.binary())], names=["h", "mask"])
 
 
 def _sort(chunk: int):
     def flush(held: list[tuple[bytes, list]]) -> Iterator[pa.RecordBatch]:
-        """held: keys with their (h, bytes, count, offset) rows."""
+        """held: keys with their (h, bytes, count) rows; equal bytes are one string here."""
         rows = [r for _, group in held for r in group]
-        if len(held) == 1:
-            masks = _sorted_group([(i, *r[1:]) for i, r in enumerate(rows)], chunk)
-        else:
-            masks = {i: hit[: len(rows[i][1]) - LENGTH + 1] for i, hit in enumerate(repeated([r[1] for r in rows], [r[2] for r in rows]))}
+        masks = [hit[: len(r[1]) - LENGTH + 1] for r, hit in zip(rows, repeated([r[1] for r in rows], [r[2] for r in rows]))]
         keep = [i for i in range(len(rows)) if masks[i].any()]
         yield pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in keep], pa.binary()), pa.array([np.packbits(masks[i]).tobytes() for i in keep], pa.binary())], names=["h", "mask"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last, key = [], 0, 0, None  # whole keys and their bytes; last: bytes of the newest
         for b in batches:
-            for k, h, data, count, place in zip(*(b.column(i).to_pylist() for i in range(5))):
+            for k, h, data, count in zip(*(b.column(i).to_pylist() for i in range(4))):
                 if k != key:
                     if held and len(held[-1][1]) == 1 and held[-1][1][0][2] == 1:  # alone in its key: no repeat
                         held.pop()
@@ -291,7 +293,7 @@ def _sort(chunk: int):
                         size += last
                     held.append((k, []))
                     key, last = k, 0
-                held[-1][1].append((h, data, count, unpacked(place)[1]))
+                held[-1][1].append((h, data, count))
                 last += len(data)
         if len(held) > 1 and size + last > chunk:
             yield from flush(held[:-1])
@@ -321,7 +323,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(sha, pa.binary()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.int64()))], names=["sha", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK, many: int = MANY) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256, spans (starts and ends of the maximal
     removed runs, in bytes) for each row.
 
@@ -341,8 +343,24 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = found.join(texts.select("uid", "text"), "uid").select("uid", "text", F.col("f.key").alias("keys"), F.col("f.place").alias("places"))
     contexts = written(found.mapInArrow(_contexts, "h binary, key long, uid long, place long, bytes binary"), "contexts")
     forget(keys)
-    distinct = contexts.groupBy("h").agg(F.first("key").alias("key"), F.first("bytes").alias("bytes"), F.first("place").alias("place"), F.count("*").alias("n"))
-    masks = written(distinct.select("key", "h", "bytes", "n", "place").repartition(max(parts, 32), "key").sortWithinPartitions("key").mapInArrow(_sort(chunk_bytes), "h binary, mask binary"), "masks")
+    level, sorted_, below = contexts.select("h", "key", "bytes", "place"), None, []
+    for width in (8, 1, None):
+        distinct = written(level.groupBy("h").agg(F.first("key").alias("key"), F.first("bytes").alias("bytes"), F.first("place").alias("place"), F.count("*").alias("n")), "distinct")
+        hot = written(distinct.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > (many if width else 1 << 62)).select("key"), "hot")
+        few = distinct.join(hot, "key", "left_anti")
+        part = few.select("key", "h", "bytes", "n").repartition(max(parts, 32), "key").sortWithinPartitions("key").mapInArrow(_sort(chunk_bytes), "h binary, mask binary")
+        sorted_ = part if sorted_ is None else sorted_.union(part)
+        if not width or not hot.take(1):
+            break
+        # a string that is there more than once repeats all of itself, whatever it is cut into
+        crowd = distinct.join(hot, "key", "left_semi")
+        pieces = written(crowd.where("n = 1").select("h", "key", "bytes", "place").mapInArrow(_pieces(width), "parent binary, lo int, h binary, key long, bytes binary, place long").unionByName(crowd.where("n > 1").select("h", "key", "bytes", "place").mapInArrow(_pieces(width), "parent binary, lo int, h binary, key long, bytes binary, place long").withColumn("twice", F.explode(F.array(F.lit(1), F.lit(2)))).drop("twice")), "pieces")
+        below.append(pieces)
+        level = pieces.select("h", "key", "bytes", "place")
+    masks = written(sorted_, "masks")
+    for pieces in reversed(below):
+        up = pieces.select("parent", "lo", "h").join(masks, "h").groupBy("parent").agg(F.collect_list(F.struct("lo", "mask")).alias("f")).mapInArrow(_combined, "h binary, mask binary")
+        masks = written(masks.union(up), "masks")
     hits = contexts.select("h", "uid", "place").join(masks, "h").groupBy("uid").agg(F.collect_list(F.struct("place", "mask")).alias("f"))
     whole = texts.where("n > 1").select("sha", F.octet_length("text").cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), F.array(F.lit(0).cast("long"), F.octet_length("text").cast("long")).alias("spans"))
     partly = texts.where("n = 1").select("sha", "uid", "text").join(hits, "uid").select("sha", "text", "f").mapInArrow(_removed, "sha binary, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
