@@ -1,7 +1,7 @@
 """The 22 decision-support queries on the given tables.
 
 The tables have no partsupp and no commit and receipt dates: the parts a supplier sells are
-those of its lineitems (its price: the least extended price by quantity), a line is late
+those of its lineitems (its cost: the least extended price by quantity, down to the cent), a line is late
 where it ships more than 1,000 days after its order. Every query is one text for both
 engines; sums go through decimals and every LIMIT has a full tie-breaker.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 from tidemark.plans.sqltext import davg, dsum, isum, year
 
 REVENUE = "l_extendedprice * (1 - l_discount)"
-PARTSUPP = "(SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, MIN(l_extendedprice / l_quantity) AS ps_supplycost, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS ps_availqty FROM lineitem GROUP BY l_partkey, l_suppkey)"
+PARTSUPP = "(SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, CAST(FLOOR(MIN(l_extendedprice / l_quantity) * 100) AS DOUBLE) / CAST(100 AS DOUBLE) AS ps_supplycost, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS ps_availqty FROM lineitem GROUP BY l_partkey, l_suppkey)"
 LATE = "l_shipdate > o_orderdate + INTERVAL '1000' DAY"
 
 QUERIES: dict[str, str] = {
