@@ -7,8 +7,8 @@
 3. Inside a tile the classes are sorted by size and cut into size bands. The first class
    of a band is its pivot and is compared with each member (links in proportion to rows,
    however large a tile is). Verified links are merged into components.
-4. Tiles that still hold more than one component get other pivots, drawn at random, in a
-   few rounds; a member is compared with its pivot where their components differ.
+4. The tiles of six of the keys that still hold more than one component get other pivots,
+   drawn at random; a member is compared with its pivot where their components differ.
 5. Where a tile then still holds more than one component, all pairs across components are
    compared in blocks: sizes, then hashed bitmaps (parity of the shingles per bit; the
    differing bits bound the overlap from above), then the exact intersection.
@@ -283,7 +283,7 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 #: bands whose tiles get random pivots, round by round
-ROUNDS = ((0, 4), (4, 12), (12, BANDS))
+ROUNDS = ((0, 6),)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -324,9 +324,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         more = written(dealt.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
         if more.take(1):
             extra = _links(more, sets)
-            pairs, links = pairs.union(more), links.union(extra)
+            pairs = pairs.union(more)
             if extra.take(1):
-                labels = written(connected_components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(extra), "a", "b"), "labels")
+                labels = written(connected_components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b").union(extra), "a", "b"), "labels")
     forget(found)
     forget(sets)
 
