@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import os
 import shutil
 import tempfile
@@ -68,6 +69,13 @@ def forget(df: DataFrame) -> None:
     _delete(df.sparkSession.sparkContext, df._tidemark_path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of what nothing refers to any more. It does so when
+    the driver's JVM collects its garbage, which may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import forget, ship, shuffle_partitions, table, written
+from tidemark.llm._common import forget, release, ship, shuffle_partitions, table, written
 from tidemark.llm.text import _BASE, _INVERSE, _power, mix
 
 LENGTH = 200
 GRAM = 64
 RANGE = 69
-CHUNK = 1_000_000
+CHUNK = 400_000
 #: different ranges of one key above which they are cut into narrower bands
 MANY = 256
 
@@ -306,16 +306,20 @@ def _sort(chunk: int):
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (sha, text, [(place, mask)]): what is left of a text."""
+    width = RANGE // 8 + 1  # bytes of the longest mask
     for b in batches:
-        out = []
-        for sha, text, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            n = len(text)
-            step = np.zeros(n + 1, np.int32)
-            for f in found or ():
-                at = unpacked(f["place"])[0] + np.flatnonzero(np.unpackbits(np.frombuffer(f["mask"], np.uint8)))
-                np.add.at(step, at, 1)
-                np.add.at(step, at + LENGTH, -1)
-            gone = np.cumsum(step)[:-1] > 0
+        out, lists = [], b.column(2)
+        firsts, flat = lists.offsets.to_numpy(), lists.values
+        lows = flat.field("place").to_numpy() >> 16
+        masks = b"".join(m.ljust(width, b"\0") for m in flat.field("mask").to_pylist())
+        bits = np.frombuffer(masks, np.uint8).reshape(-1, width)
+        for i, (sha, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+            row, start = np.nonzero(np.unpackbits(bits[firsts[i] : firsts[i + 1]], axis=1))
+            begun = np.zeros(len(text), np.int32)
+            begun[lows[firsts[i] : firsts[i + 1]][row] + start] = 1
+            total = np.cumsum(begun)
+            total[LENGTH:] -= total[:-LENGTH].copy()  # starts among the last LENGTH places
+            gone = total > 0
             spans = np.flatnonzero(np.diff(gone, prepend=False, append=False)).reshape(-1, 2)
             kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
             out.append((sha, int(gone.sum()), len(spans), hashlib.sha256(kept).hexdigest(), spans.reshape(-1).tolist()))
@@ -338,13 +342,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     slim = docs.select(F.col(id_col).alias("id"), data.alias("text")).select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("sha"), "text")
     texts = written(slim.where(F.col("n_bytes") >= LENGTH).groupBy("sha").agg(F.first("text").alias("text"), F.count("*").alias("n")).select("sha", "text", "n", F.monotonically_increasing_id().alias("uid")), "texts")
     keys = written(texts.select("uid", "text").mapInArrow(_range_rows, "key long, uid long, place long"), "ranges")
+    release(spark)
     twice = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     found = keys.join(twice, "key").groupBy("uid").agg(F.collect_list(F.struct("key", "place")).alias("f"))
     found = found.join(texts.select("uid", "text"), "uid").select("uid", "text", F.col("f.key").alias("keys"), F.col("f.place").alias("places"))
     contexts = written(found.mapInArrow(_contexts, "h binary, key long, uid long, place long, bytes binary"), "contexts")
     forget(keys)
+    del keys, twice, found
+    release(spark)
     level, sorted_, below = contexts.select("h", "key", "bytes", "place"), None, []
     for width in (8, 1, None):
+        release(spark)
         distinct = written(level.groupBy("h").agg(F.first("key").alias("key"), F.first("bytes").alias("bytes"), F.first("place").alias("place"), F.count("*").alias("n")), "distinct")
         hot = written(distinct.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > (many if width else 1 << 62)).select("key"), "hot")
         few = distinct.join(hot, "key", "left_anti")
@@ -358,6 +366,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         below.append(pieces)
         level = pieces.select("h", "key", "bytes", "place")
     masks = written(sorted_, "masks")
+    release(spark)
     for pieces in reversed(below):
         up = pieces.select("parent", "lo", "h").join(masks, "h").groupBy("parent").agg(F.collect_list(F.struct("lo", "mask")).alias("f")).mapInArrow(_combined, "h binary, mask binary")
         masks = written(masks.union(up), "masks")
