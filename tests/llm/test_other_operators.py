@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import io
+import math
 import random
 import zlib
 
@@ -145,6 +146,33 @@ def test_links_against_all_pairs(spark, block):
     assert embedding_dedup.near_duplicates(df.where("vec_id IN (200, 201)")).where("kept AND n_links = 0").count() == 2
 
 
+@pytest.mark.parametrize("block", [4096, 5])
+def test_chains_with_shuffled_ids_stay_whole(spark, block):
+    rows, ids = [], np.random.default_rng(11).permutation(240).tolist()
+    for g in range(40):  # only neighbours of a chain reach the threshold: cos 15 degrees is 0.966, cos 30 is 0.866
+        for k in range(6):
+            v = [0.0] * 80
+            v[2 * g], v[2 * g + 1] = math.cos(math.radians(15 * k)), math.sin(math.radians(15 * k))
+            rows.append((ids[len(rows)], v))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, embedding_dedup.near_duplicates(df, block=block, miss=1e-9).select("vec_id", "n_links", "component_id", "kept").collect()))
+    assert got == brute_links(rows)
+
+
+def test_smallest_reachable_nodes():
+    rng = np.random.default_rng(2)
+    for n, m in ((1, 0), (50, 20), (300, 290), (1000, 1500)):
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        want = list(range(n))
+        for _ in range(n):
+            before = list(want)
+            for i, j in zip(a.tolist(), b.tolist()):
+                want[i] = want[j] = min(want[i], want[j])
+            if want == before:
+                break
+        assert embedding_dedup._roots(a, b, n).tolist() == want
+
+
 # ---- components
 
 def test_components_of_chains_stars_and_rings(spark):

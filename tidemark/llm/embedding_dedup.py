@@ -82,10 +82,23 @@ def _keyed(dim: int, bits: int, tables: int):
     return run
 
 
+def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node reachable from each of n nodes by the links (a, b)."""
+    root = np.arange(n)
+    while len(a):
+        p, q = root[a], root[b]
+        apart = p != q
+        a, b, p, q = a[apart], b[apart], p[apart], q[apart]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while (root[root] != root).any():
+            root = root[root]
+    return root
+
+
 def _bucket_links(dim: int, bits: int, tables: int, threshold: float, sigmas: float):
     """Rows (bucket, low, high, side, id, v, weight), sorted by the first four: two blocks of a
     bucket (sides 0 and 1), or one that is compared with itself (side 2). Out: for each vector
-    with a link its linked weight and the smallest id it is linked with here."""
+    with a link its linked weight and the smallest id reachable by the links found here."""
     planes = rotations(dim, bits, tables)
     rotation = np.linalg.qr(np.random.default_rng(SEED).standard_normal((dim, dim)))[0]
 
@@ -154,7 +167,10 @@ def _bucket_links(dim: int, bits: int, tables: int, threshold: float, sigmas: fl
                 order = np.argsort(who, kind="stable")
                 who, weight, other = who[order], weight[order], other[order]
                 at = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
-                yield pa.RecordBatch.from_arrays([pa.array(who[at]), pa.array(np.add.reduceat(weight, at)), pa.array(np.minimum.reduceat(other, at))], names=["id", "linked", "least"])
+                ids, linked = who[at], np.add.reduceat(weight, at)
+                once = other < who  # each link is there both ways
+                root = _roots(np.searchsorted(ids, who[once]), np.searchsorted(ids, other[once]), len(ids))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(linked), pa.array(ids[root])], names=["id", "linked", "least"])
 
     return run
 
