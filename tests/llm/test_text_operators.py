@@ -220,6 +220,27 @@ def test_jaccard_odd_rows(odd, none):
     assert jaccard_join.jaccard_components(none).count() == 0
 
 
+def test_jaccard_largest_of_a_size_graded_family(spark):
+    """Many copies shortened at other places, a longer one, and a full one that only links with that."""
+    texts = []
+    for g in range(4):
+        full = [f"g{g}w{i}" for i in range(300)]
+        texts += [" ".join(full), " ".join(full[:250])] + [" ".join(full[:i] + full[i + 40 : 250]) for i in range(0, 210, 5)]
+    ids = np.random.default_rng(3).permutation(len(texts)).tolist()
+    rows = list(zip(ids, texts))
+    want = components({i: T.shingles(t) for i, t in rows})
+    assert len(set(want.values())) == 4
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_jaccard_links_through_rows_without_id(spark):
+    words = [f"w{i}" for i in range(130)]
+    rows = [(1, " ".join(words[:100])), (None, " ".join(words[:115])), (None, " ".join(words[:115])), (2, " ".join(words))]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.component_id for r in got] == [1, 1, 1, 1]
+
+
 def test_bitmaps_bound_the_overlap():
     rng = np.random.default_rng(1)
     for _ in range(300):

@@ -105,8 +105,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lists = iter(pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.reshape(-1))).to_pylist()) if len(full) < len(sets) else None
             tiles = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.reshape(-1))) if lists is None else pa.array([next(lists) if len(s) else None for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()), pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary()), tiles],
-                names=["id", "n", "skey", "bits", "tiles"],
+                [b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()), pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary()), tiles],
+                names=["id", "tkey", "n", "skey", "bits", "tiles"],
             )
 
 
@@ -258,6 +258,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, x, s, t = (b.column(i).to_pylist() for i in range(4))
         keep = []
         for i in range(b.num_rows):
+            if s[i] is None or t[i] is None:
+                raise ValueError("a pair without its shingle sets")
             p, q = np.frombuffer(s[i], np.uint64), np.frombuffer(t[i], np.uint64)
             n, m = len(p), len(q)
             if 100 * min(n, m) >= 80 * max(n, m):
@@ -269,17 +271,24 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.binary()), pa.array([x[i] for i in keep], pa.binary())], names=["a", "b"])
 
 
-def _sets(pairs: DataFrame, docs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """skey, shingles of all classes in a pair; only one document of each is read again."""
-    wanted = pairs.select(F.col("a").alias("skey")).union(pairs.select("b")).distinct()
-    ids = sigs.groupBy("skey").agg(F.min("id").alias("id")).join(wanted, "skey").select("id")
-    return written(docs.join(ids, "id", "left_semi").select("text").mapInArrow(_arrays, "skey binary, shingles binary").dropDuplicates(["skey"]).join(wanted, "skey", "left_semi"), "sets")
+def _missing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """skey of all classes in a pair that have no set yet."""
+    return pairs.select(F.col("a").alias("skey")).union(pairs.select("b")).distinct().join(sets.select("skey"), "skey", "left_anti")
+
+
+def _sets(wanted: DataFrame, docs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """skey, shingles of the wanted classes; only one document of each is read again, or those
+    of one text where all have no id."""
+    one = F.coalesce(F.min_by("tkey", "id"), F.min("tkey")).alias("one_tkey")
+    ones = sigs.groupBy("skey").agg(F.min("id").alias("one_id"), one).join(wanted, "skey").select("one_id", "one_tkey")
+    same = F.col("id").eqNullSafe(F.col("one_id")) & (F.col("tkey") == F.col("one_tkey"))
+    return written(docs.join(ones, same, "left_semi").select("text").mapInArrow(_arrays, "skey binary, shingles binary").dropDuplicates(["skey"]).join(wanted, "skey", "left_semi"), "sets")
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that hold, exactly compared."""
+    """The pairs (a, b) that hold, exactly compared; both need a set."""
     left, right = sets.select(F.col("skey").alias("a"), F.col("shingles").alias("s")), sets.select(F.col("skey").alias("b"), F.col("shingles").alias("t"))
-    return written(pairs.join(right, "b").join(left, "a").select("a", "b", "s", "t").mapInArrow(_verify, "a binary, b binary"), "verified")
+    return written(pairs.join(right, "b", "left").join(left, "a", "left").select("a", "b", "s", "t").mapInArrow(_verify, "a binary, b binary"), "verified")
 
 
 #: bands whose tiles get random pivots, round by round
@@ -297,9 +306,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tkey"))
     kind = docs.schema["id"].dataType.simpleString()
-    every = written(docs.mapInArrow(_signatures, f"id {kind}, n long, skey binary, bits binary, tiles array<long>"), "signatures")
+    every = written(docs.mapInArrow(_signatures, f"id {kind}, tkey long, n long, skey binary, bits binary, tiles array<long>"), "signatures")
     sigs = every.where("n > 0")
     classes = written(sigs.groupBy("skey").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("tiles").alias("tiles")), "classes")
 
@@ -308,7 +317,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n_parts = max(parts, classes.count() * BANDS // 1_000_000)
     found = written(rows.repartition(n_parts, "key").sortWithinPartitions("key", "n", "skey").mapInArrow(_pivots, TILE_OUT), "tiles")
     pairs = written(found.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    sets = _sets(pairs, docs, sigs)
+    wanted = pairs.select(F.col("a").alias("skey")).union(pairs.select("b")).distinct()
+    sets = _sets(wanted, docs, sigs)
+    read = [sets]
     links = _links(pairs, sets)
     labels = written(connected_components(links, "a", "b"), "labels")
 
@@ -323,12 +334,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             dealt = members.repartition(parts, "key").sortWithinPartitions("key", F.xxhash64("skey", "key")).mapInArrow(_stars, "a binary, b binary")
         more = written(dealt.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
         if more.take(1):
+            # a class that follows no pivot and has no follower is in no pair before
+            missing = written(_missing(more, sets), "missing")
+            if missing.take(1):
+                read.append(_sets(missing, docs, sigs))
+                sets = sets.union(read[-1])
             extra = _links(more, sets)
             pairs = pairs.union(more)
             if extra.take(1):
                 labels = written(connected_components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b").union(extra), "a", "b"), "labels")
     forget(found)
-    forget(sets)
+    for part in read:
+        forget(part)
 
     rooted = classes.select("skey", "id").join(labels.withColumnRenamed("node", "skey"), "skey", "left").withColumn("label", F.coalesce("label", "skey"))
     lowest = rooted.groupBy("label").agg(F.min("id").alias("component_id"))
