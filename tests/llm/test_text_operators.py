@@ -41,6 +41,26 @@ def test_forest_separates_held_out_findings():
     assert ((forest.predict(x[1::2]) >= 0.5) == y[1::2]).mean() > 0.95
 
 
+def test_secrets_of_any_length_and_characters():
+    tri = np.log(np.full(secrets.TRIGRAMS, 1 / secrets.TRIGRAMS)).astype(np.float32)
+    findings = secrets.labelled_findings()
+    forest = secrets.Forest.fit(np.array([secrets.describe(v, b, a, p, tri) for v, b, a, p, _ in findings]), np.array([f[4] for f in findings]), trees=15)
+    scanner = secrets.Scanner(tri, forest, 0.5)
+    hidden = ["Summer2024!x", "aB3@kd9!Lm$27:Qz%81xT", "9b0b3c6a43eb78aa99cbd7049c572391524f37a8"]
+    texts = [f'the password = "{hidden[0]}" of it', f"then secret: {hidden[1]} was", f"API_KEY={hidden[2]}\nand so on", "the password: please ask", "key: value"]
+    found = [[t[a:z] for a, z, score in f if score >= 0.5] for t, f in zip(texts, scanner.scan(texts, [None] * 5))]
+    assert found == [[hidden[0]], [hidden[1]], [hidden[2]], [], []]
+
+
+def test_candidates_leave_no_part_out():
+    spans = lambda t: [t[a:z] for a, z in secrets.candidates(t)]
+    run = "a1B2" * 128
+    assert spans(f"x {run}Zz9 y") == [run + "Zz9"] and spans(f"x {run}{run[:16]} y") == [run, run[:16]]
+    assert spans("GITHUB_PAT=" + run[:40]) == [run[:40]] and spans(run[:20] + "==") == [run[:20] + "=="]
+    assert spans(f'{run[:20]} pwd="x" {run[:24]} pin') == [run[:20], "x", run[:24]]
+    assert len(secrets.describe("é", "pwd=", "", "", np.zeros(secrets.TRIGRAMS, np.float32))) == secrets.FEATURES
+
+
 def test_trigram_counts():
     counts = secrets.trigram_counts(b"abC abc 1ab")
     assert counts.sum() == 2 and counts.max() == 2

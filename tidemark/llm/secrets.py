@@ -1,7 +1,9 @@
 """Secret scan: candidate strings judged by a random forest.
 
-Candidates are runs of 16 to 512 characters of ``[A-Za-z0-9+/_=.-]`` that hold a digit or
-mixed case, found in whole texts. A forest trained from labelled findings removes the
+Candidates are the values behind a secret's name and = or :, of any length and of any
+characters but blanks and quotes, and elsewhere runs of 16 or more characters of
+``[A-Za-z0-9+/_=.-]`` that hold a digit or mixed case, without a ``NAME=`` before them;
+found in whole texts. A forest trained from labelled findings removes the
 false positives (words, digests, ids, paths, placeholders) by the candidate's length and
 character transitions, its dictionary coverage, the document's path and the neighbouring
 words. The dictionary is the table of letter trigrams counted over all documents.
@@ -25,10 +27,14 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._common import ship, table
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.\-]{16,512}")
+LEAST, MOST = 16, 512
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.\-]{%d,}" % LEAST)
 REDACTED = "[SECRET]"
 SECRET_WORDS = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "key", "auth", "bearer", "credential", "private", "access")
 OTHER_WORDS = ("sha", "md5", "commit", "checksum", "digest", "hash", "uuid", "guid", "id", "version", "rev", "etag", "http", "https", "src", "href", "img", "file", "example", "placeholder")
+#: a secret's name, = or :, and the value, which ends at its quote or at a blank
+NAMED = re.compile(r"""(?i)(?:%s)[a-z0-9_.\-]{0,40}["'`]?[ \t]{0,8}(?::=|=>|[=:])[ \t]{0,8}(?:(?:bearer|basic)[ \t]+)?(?:"([^"\s]+)"|'([^'\s]+)'|`([^`\s]+)`|["'`]?([^\s"'`<>,;]+))""" % "|".join(SECRET_WORDS))
+NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*=(?=[^=])")
 #: characters of context on each side
 AROUND = 48
 FEATURES = 20
@@ -81,9 +87,10 @@ def describe(value: str, before: str, after: str, path: str, trigrams: np.ndarra
     n = len(value)
     kinds = [_kind(c) for c in value]
     share = [kinds.count(k) / n for k in range(4)]
-    counts = np.bincount(np.frombuffer(value.encode(), np.uint8))
-    p = counts[counts > 0] / n
-    x = _LETTER[np.frombuffer(value.encode(), np.uint8)]
+    raw = np.frombuffer(value.encode(), np.uint8)
+    counts = np.bincount(raw)
+    p = counts[counts > 0] / len(raw)
+    x = _LETTER[raw]
     whole = (x[:-2] > 0) & (x[1:-1] > 0) & (x[2:] > 0)
     logs = trigrams[(x[:-2] << 10) + (x[1:-1] << 5) + x[2:]][whole]
     left = re.findall(r"[a-z_0-9]+", before.lower())[-3:]
@@ -91,7 +98,7 @@ def describe(value: str, before: str, after: str, path: str, trigrams: np.ndarra
     names = " ".join(left)
     tail = before.rstrip(" \"'`")[-1:]
     return [
-        min(n, 128), *share[:3], sum(a != b for a, b in zip(kinds, kinds[1:])) / (n - 1), float(-(p * np.log2(p)).sum()), len(set(value)) / n,
+        min(n, 128), *share[:3], sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, n - 1), float(-(p * np.log2(p)).sum()), len(set(value)) / n,
         float((logs > math.log(1 / TRIGRAMS)).sum()) / max(1, n - 2), float(logs.mean()) if len(logs) else -20.0,  # dictionary coverage
         max(len(w) for w in re.findall(r"[A-Za-z]*", value)) / n, float(re.fullmatch(r"[0-9a-fA-F]+", value) is not None), value.count("-") / n, (value.count("/") + value.count(".")) / n,
         float(any(w in names for w in SECRET_WORDS)), float(any(w in left for w in OTHER_WORDS)), float(tail in ("=", ":")), float(before[-1:] in "\"'`" and before != ""), float(after[:1] in "\"'`" and after != ""),
@@ -99,19 +106,47 @@ def describe(value: str, before: str, after: str, path: str, trigrams: np.ndarra
     ]
 
 
+def _pieces(start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Pieces of MOST characters; what is left and under LEAST belongs to the last one."""
+    while end - start >= MOST + LEAST:
+        yield start, start + MOST
+        start += MOST
+    yield start, end
+
+
+def _runs(text: str, low: int, high: int) -> Iterator[tuple[int, int]]:
+    for m in CANDIDATE.finditer(text, low, high):
+        start = m.start()
+        if (name := NAME.match(text, start, m.end())) and m.end() - name.end() >= LEAST:
+            start = name.end()
+        for a, z in _pieces(start, m.end()):
+            v = text[a:z]
+            if any(c.isdigit() for c in v) or (v != v.lower() and v != v.upper() and v[1:] != v[1:].lower()):
+                yield a, z
+
+
 def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """Spans; of a run of more than 512 characters each 512 are a candidate of their own."""
-    for m in CANDIDATE.finditer(text):
-        v = m.group()
-        if any(c.isdigit() for c in v) or (v != v.lower() and v != v.upper() and v[1:] != v[1:].lower()):
-            yield m.start(), m.end()
+    """Spans, in order and apart from each other; one of very many characters is cut."""
+    last = 0
+    for m in NAMED.finditer(text):
+        start, end = m.span(m.lastindex)
+        if m.lastindex == 4:
+            end = start + len(text[start:end].rstrip(".:)]}"))
+        if end > start:
+            name = m.start()
+            while name > last and (text[name - 1].isalnum() or text[name - 1] in "_.-"):
+                name -= 1
+            yield from _runs(text, last, name)
+            yield from _pieces(start, end)
+            last = end
+    yield from _runs(text, last, len(text))
 
 
 # ---- labelled findings
 
 def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, str, str, int]]:
-    """(value, before, after, path, label): n findings as a reviewer would label them, half of
-    them secrets, from a fixed generator of formats (there is no table of findings)."""
+    """(value, before, after, path, label): n findings as a reviewer would label them and
+    n // 3 more of short or mixed values, half of each secrets, from a fixed generator of formats (there is no table of findings)."""
     rng = random.Random(seed)
     pick, alnum = rng.choice, string.ascii_letters + string.digits
     run = lambda chars, k: "".join(pick(chars) for _ in range(k))
@@ -149,7 +184,17 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, str,
             value = pick(["=" * 20 + "1", "-" * 30 + "2", "a" * 18 + "1", "_".join(["A", "b"] * 10)])
             before, after = filler() + " ", " " + filler()
         out.append((value, before, after, pick(["src0", "src7", "docs/guide", "tests/data", "crawl"]), 0))
-    return [x for x in out if len(x[0]) >= 16]
+    out = [x for x in out if len(x[0]) >= LEAST]
+    short = []
+    symbols = "!@#$%&*?+-_.:"
+    for _ in range(n // 6):  # short or mixed values behind a secret's name, and what else stands there
+        name = pick(["token", "secret", "password", "passwd", "pwd", "api_key", "auth_token", "DB_PASSWORD", "client_secret"])
+        before, after = pick([(f'{filler()} {name} = "', '" ' + filler()), (f"{filler()} {name}: ", " " + filler()), (f"{filler()} {name}='", "' " + filler()), (f"{name.upper()}=", "\n" + filler()), (f'"{name}": "', '",')])
+        strong = pick([lambda: word(rng.randint(2, 3)).title() + run(string.digits, rng.randint(2, 4)) + run(symbols, rng.randint(1, 2)) + run(alnum, rng.randint(0, 2)), lambda: run(alnum + symbols + string.digits, rng.randint(8, 24)), lambda: run(alnum + string.digits, rng.randint(8, 15)), lambda: run("0123456789abcdef", rng.randint(8, 15))])()
+        weak = pick([lambda: word(rng.randint(1, 5)), lambda: word(rng.randint(1, 3)).title(), lambda: run(string.digits, rng.randint(1, 4)), lambda: pick(["true", "false", "null", "none", "None", "required", "string", "changeme", "********", "xxxxxxxx", "...", "-", "{", "[", "1", "your-password", "your_token", "${TOKEN}", "$PASSWORD", "%(password)s", "{{secret}}"]), lambda: word(2) + pick(["()", "(" + word(1), "." + word(2), "_" + word(2)])])()
+        short.append((strong, before, after, pick(["src0", "src7", "app/config", "deploy/env", "crawl"]), 1))
+        short.append((weak, before, after, pick(["src0", "src7", "docs/guide", "tests/data", "crawl"]), 0))
+    return out + sorted(short, key=lambda x: -x[4])
 
 
 # ---- the forest
