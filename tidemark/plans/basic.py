@@ -290,6 +290,26 @@ for _how, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JO
     SQL[f"join_theta_{_how}"] = f"SELECT s_suppkey, s_acctbal, n_nationkey, CAST(bar AS DOUBLE) AS bar FROM {_S} {_sql} {_N} ON s_acctbal < bar AND s_suppkey > n_nationkey + 3"
 
 
+# the same over whole tables; NULLIF makes null keys and rows without a partner
+
+def _whole(s, d):
+    return table(s, d, "orders").select("o_orderkey", F.nullif(col("o_custkey"), F.lit(7)).alias("ok")), table(s, d, "customer").select(F.nullif(col("c_custkey"), F.lit(11)).alias("ck"), "c_nationkey")
+
+
+_O, _C = "(SELECT o_orderkey, NULLIF(o_custkey, 7) AS ok FROM orders) o", "(SELECT NULLIF(c_custkey, 11) AS ck, c_nationkey FROM customer) c"
+_S, _N = "(SELECT s_suppkey, s_acctbal FROM supplier) s", "(SELECT n_nationkey, n_nationkey * 400.0 AS bar FROM nation) n"
+for _how, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("full", "FULL JOIN")):
+    QUERIES[f"join_whole_{_how}"] = lambda s, d, how=_how: R.hash_join(*_whole(s, d), [("ok", "ck")], how)
+    SQL[f"join_whole_{_how}"] = f"SELECT * FROM {_O} {_sql} {_C} ON ok = ck"
+    QUERIES[f"join_theta_whole_{_how}"] = lambda s, d, how=_how: R.nested_loop_join(
+        table(s, d, "supplier").select("s_suppkey", "s_acctbal"), table(s, d, "nation").select("n_nationkey", (col("n_nationkey") * 400.0).alias("bar")),
+        (col("s_acctbal") < col("bar")) & (col("s_acctbal") > col("bar") - 150), how)
+    SQL[f"join_theta_whole_{_how}"] = f"SELECT s_suppkey, s_acctbal, n_nationkey, CAST(bar AS DOUBLE) AS bar FROM {_S} {_sql} {_N} ON s_acctbal < bar AND s_acctbal > bar - 150"
+for _how, _sql in (("semi", "EXISTS"), ("anti", "NOT EXISTS")):
+    QUERIES[f"join_whole_{_how}"] = lambda s, d, how=_how: R.hash_join(*_whole(s, d), [("ok", "ck")], how)
+    SQL[f"join_whole_{_how}"] = f"SELECT * FROM {_O} WHERE {_sql} (SELECT 1 FROM {_C} WHERE ck = ok)"
+
+
 @query("SELECT a.n_nationkey, a.n_name, a.n_regionkey, b.n_nationkey AS n_nationkey_r, b.n_name AS n_name_r, b.n_regionkey AS n_regionkey_r FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
 def join_rename_conflict(s, d):
     return R.hash_join(table(s, d, "nation"), table(s, d, "nation"), [("n_regionkey", "n_regionkey")])
