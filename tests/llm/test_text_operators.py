@@ -213,8 +213,10 @@ def components(sets):
     return label
 
 
-def test_jaccard_groups(spark):
-    """Groups of near copies around the threshold, with chains, against all pairs."""
+@pytest.mark.parametrize("block,part_rows", [(jaccard_join.BLOCK, jaccard_join.PART), (3, 4)])
+def test_jaccard_groups(spark, block, part_rows):
+    """Groups of near copies around the threshold, with chains, against all pairs; also where
+    every tile is cut into parts and dealt to block pairs."""
     rng = random.Random(4)
     rows = []
     for g in range(6):
@@ -227,11 +229,45 @@ def test_jaccard_groups(spark):
             if rng.random() < 0.3:
                 base = w
     want = components({i: T.shingles(t) for i, t in rows})
-    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), block=block, part_rows=part_rows).collect()
     assert {r.doc_id: r.component_id for r in got} == want
     assert all(r.n_shingles == len(T.shingles(dict(rows)[r.doc_id])) for r in got)
 
 
+@pytest.mark.parametrize("size", [250, 500, 1000])
+def test_a_tile_of_near_copies_gives_a_forest(size):
+    """Fewer links than rows, of the right components, from one tile and from two blocks of it."""
+    rng = np.random.default_rng(size)
+    base = rng.integers(0, 1 << 62, 120, dtype=np.uint64)
+    rows = []
+    for k in range(size):
+        own = base.copy()
+        own[rng.choice(120, int(rng.integers(4, 16)), replace=False)] = rng.integers(0, 1 << 62, 1, dtype=np.uint64)
+        s = np.unique(own)
+        rows.append((k.to_bytes(4, "big"), len(s), k.to_bytes(4, "big"), jaccard_join.bitmap(s), [0] * jaccard_join.BANDS, s.tobytes()))
+    sets = [np.frombuffer(r[5], np.uint64) for r in rows]
+    links = [(i, j) for i in range(size) for j in range(i) if jaccard_join.alike(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), len(sets[i]), len(sets[j]))] if size < 500 else None
+    tile, one, two = (jaccard_join._Tile(x) for x in (rows, rows[: size // 2], rows[size // 2 :]))
+    found = jaccard_join.forest(tile, tile, 0)
+    apart = [p for x, y in ((one, one), (two, two), (one, two)) for p in jaccard_join.forest(x, y, 0)]
+    assert len(found) < size and len(jaccard_join.forest(one, two, 0)) < size
+    assert jaccard_join.forest(tile, tile, 1) == []  # all share a lower band's tile
+
+    def roots(pairs):
+        label = list(range(size))
+        for _ in range(size):
+            before = list(label)
+            for i, j in pairs:
+                label[i] = label[j] = min(label[i], label[j])
+            if label == before:
+                return label
+
+    number = lambda pairs: [tuple(int.from_bytes(x, "big") for x in p) for p in pairs]
+    assert roots(number(found)) == roots(number(apart))
+    if links is not None:
+        assert len(links) > 2 * size and roots(links) == roots(number(found))
+
+
 def test_jaccard_odd_rows(odd, none):
     got = jaccard_join.jaccard_components(odd).collect()
     assert len(got) == odd.count()

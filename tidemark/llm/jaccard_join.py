@@ -10,10 +10,14 @@
 4. The tiles of six of the keys that still hold more than one component get other pivots,
    drawn at random; a member is compared with its pivot where their components differ.
 5. Where a tile then still holds more than one component, all pairs across components are
-   compared in blocks: sizes, then hashed bitmaps (parity of the shingles per bit; the
-   differing bits bound the overlap from above), then the exact intersection.
-
-An exact comparison is an intersection of two sorted arrays: 100*inter >= 80*union.
+   compared: sizes, then hashed bitmaps (parity of the shingles per bit; the differing bits
+   bound the overlap from above), then the exact intersection, at once. A pair is compared
+   in the first tile it shares only, and classes that have come together in a tile aren't
+   compared any more, so a tile hands on a forest of links: fewer than it has rows.
+
+A tile of very many classes is cut into parts for the pivots and dealt to pairs of blocks
+afterwards, of which those of its largest component needn't meet each other. An exact
+comparison is an intersection of two sorted arrays: 100*inter >= 80*union.
 """
 
 from __future__ import annotations
@@ -31,8 +35,12 @@ from tidemark.llm.components import connected_components
 from tidemark.llm.text import mix, shingle_set, word_hashes
 
 BANDS, ROWS = 40, 4
-#: rows of a tile compared with each other at once
-BLOCK = 1024
+#: classes of a block, and shingles, beyond which a tile is dealt to pairs of blocks
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
+#: classes of a tile beyond which its pivots are drawn in parts of that many
+PART = 50_000
+#: links are looked for in the tiles of these bands, round by round
+STARS, ROUNDS = (0, 6), ((0, 4), (4, BANDS))
 
 
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -123,134 +131,169 @@ def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
     return list(zip([0, *cut.tolist()], [*cut.tolist(), len(keys)]))
 
 
-TILE_OUT = "kind int, a binary, b binary, key long, n long, band int"
+TILE_OUT = "kind int, a binary, b binary, key long, part long, n long, band int"
 
 
 def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, skey, n, band) come sorted by key and n. kind 0: a pivot and a member of its
-    size band; kind 1: a member of a tile of three or more, for the later rounds."""
+    """Rows (key, part, skey, n, band) come sorted by key, part and n. kind 0: a pivot and a
+    member of its size band; kind 1: a member of a tile of three or more, for the later
+    rounds. part is -1 but in tiles that are cut into parts."""
     key = pivot = pivot_n = None
     early: list[tuple] = []  # the first two members of the tile
     seen = 0
     for batch in batches:
-        keys, ids, ns, bands = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        keys, cuts, ids, ns, bands = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), batch.column(3).to_numpy(), batch.column(4).to_numpy()
         # rows of tiles that lie wholly inside this batch and hold one row say nothing
-        alone = np.ones(len(keys), bool)
+        alone = cuts < 0
         alone[1:] &= keys[1:] != keys[:-1]
         alone[:-1] &= keys[1:] != keys[:-1]
         if len(keys):
-            alone[0] &= keys[0] != key
+            alone[0] &= key is None or keys[0] != key[0]
             alone[-1] = False
         out: list[tuple] = []
         at = np.flatnonzero(~alone)
-        for k, n, band, x in zip(keys[at].tolist(), ns[at].tolist(), bands[at].tolist(), ids.take(pa.array(at)).to_pylist()):
-            if k != key:
-                key, pivot, pivot_n, early, seen = k, x, n, [(x, n)], 1
+        for k, cut, n, band, x in zip(keys[at].tolist(), cuts[at].tolist(), ns[at].tolist(), bands[at].tolist(), ids.take(pa.array(at)).to_pylist()):
+            if (k, cut) != key:
+                key, pivot, pivot_n, early, seen = (k, cut), x, n, [(x, n)], 1
+                if cut >= 0:
+                    seen = 3
+                    out.append((1, x, None, k, cut, n, band))
                 continue
             seen += 1
             if 100 * pivot_n >= 80 * n:
-                out.append((0, pivot, x, k, n, band))
+                out.append((0, pivot, x, k, cut, n, band))
             else:
                 pivot, pivot_n = x, n
             if seen == 2:
                 early.append((x, n))
             elif seen == 3:
-                out.extend((1, e, None, k, m, band) for e, m in early)
+                out.extend((1, e, None, k, cut, m, band) for e, m in early)
             if seen >= 3:
-                out.append((1, x, None, k, n, band))
+                out.append((1, x, None, k, cut, n, band))
         if out:
-            kind, a, b, k, n, band = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(k, pa.int64()), pa.array(n, pa.int64()), pa.array(band, pa.int32())], names=["kind", "a", "b", "key", "n", "band"])
+            kind, a, b, k, cut, n, band = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(k, pa.int64()), pa.array(cut, pa.int64()), pa.array(n, pa.int64()), pa.array(band, pa.int32())], names=["kind", "a", "b", "key", "part", "n", "band"])
+
 
+class _Tile:
+    """Members (skey, n, label, bits, tiles, shingles) of a tile, or of a block of one."""
 
-def _may_link(n: int, bits: np.ndarray, m: int, other: np.ndarray) -> bool:
-    width = min(len(bits), len(other))
-    apart = int(np.bitwise_count(fold(bits, width) ^ fold(other, width)).sum())
-    return bool(alike(min((n + m - apart) // 2, n, m), n, m))
+    def __init__(self, rows: list[tuple]):
+        ids, n, label, bits, tiles, sets = zip(*rows)
+        self.ids, self.n, self.label = list(ids), np.array(n, np.int64), list(label)
+        arrays = [np.frombuffer(x, np.uint64) for x in bits]
+        self.width = min(len(x) for x in arrays)
+        self.bits = np.stack([fold(x, self.width) for x in arrays])
+        self.tiles = np.array(tiles, np.int64)
+        self.sets = [np.frombuffer(x, np.uint64) for x in sets]
+
+
+def _exact(one: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """The size of the intersection of a sorted array with each of the others."""
+    every = np.concatenate(sets)
+    at = np.searchsorted(one, every)
+    at[at == len(one)] = len(one) - 1
+    return np.add.reduceat(one[at] == every, np.concatenate([[0], np.cumsum([len(s) for s in sets[:-1]], dtype=np.int64)]), dtype=np.int64)
+
+
+def forest(p: _Tile, q: _Tile, band: int) -> list[tuple[bytes, bytes]]:
+    """Links between members of p and of q (the same tile: between its members) of different
+    labels, as many as bring together what is linked. Pairs that share a tile of a lower
+    band are left out: they are compared there."""
+    names = {x: i for i, x in enumerate(dict.fromkeys([*p.label, *q.label]))}
+    root1, root2 = (np.array([names[x] for x in t.label]) for t in (p, q))
+    same, width = p is q, min(p.width, q.width)
+    if same:
+        root2 = root1
+    x, y = fold(p.bits, width), fold(q.bits, width)
+    out = []
+    for i in range(len(q.ids)):
+        upto = i if same else len(p.ids)
+        n, m = p.n[:upto], q.n[i]
+        js = np.flatnonzero((root1[:upto] != root2[i]) & (100 * np.minimum(n, m) >= 80 * np.maximum(n, m)))
+        if not len(js):
+            continue
+        apart = np.bitwise_count(x[js] ^ y[i]).sum(axis=1, dtype=np.int64)
+        total, least = p.n[js] + m, np.minimum(p.n[js], m)
+        js = js[alike(np.minimum((total - apart) // 2, least), p.n[js], m)]
+        if band and len(js):
+            js = js[~(p.tiles[js, :band] == q.tiles[i, :band]).any(axis=1)]
+        while len(js):
+            some, js = js[:32], js[32:]
+            inter = _exact(q.sets[i], [p.sets[j] for j in some])
+            for j in some[alike(inter, p.n[some], m)].tolist():
+                low, high = sorted((int(root1[j]), int(root2[i])))
+                if low != high:
+                    out.append((min(p.ids[j], q.ids[i]), max(p.ids[j], q.ids[i])))
+                    root1[root1 == high] = low
+                    root2[root2 == high] = low
+            js = js[root1[js] != root2[i]]
+    return out
+
+
+MEMBER = ("skey", "n", "label", "bits", "tiles", "shingles")
+
+
+def _members(batch: pa.RecordBatch, first: int) -> Iterator[tuple]:
+    return zip(*(batch.column(first + i).to_pylist() for i in range(len(MEMBER))))
+
+
+def _pairs(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.binary()), pa.array([p[1] for p in found], pa.binary())], names=["a", "b"])
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, skey, n, bits, label) sorted by key and at random within. A member is
-    paired with the first pivot of a like size if their labels differ and their bitmaps
-    allow the similarity; without such a pivot it becomes one (as many as size bands)."""
+    """Rows (key, part, member...) sorted by key and part and at random within. A member is
+    compared with the first pivot of a like size if their labels differ; without such a
+    pivot it becomes one (as many as size bands). Fewer links than rows."""
     key, pivots = None, []
     for batch in batches:
-        a, b = [], []
-        for k, x, n, bits, label in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            if k != key:
-                key, pivots = k, []
-            for y, m, other, lab in pivots:
-                if 100 * min(n, m) >= 80 * max(n, m):
-                    if lab != label and _may_link(n, np.frombuffer(bits, np.uint64), m, other):
-                        a.append(min(x, y))
-                        b.append(max(x, y))
-                    break
-            else:
-                pivots.append((x, n, np.frombuffer(bits, np.uint64), label))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+        found = []
+        for start in range(0, batch.num_rows, 500):
+            b = batch.slice(start, 500)
+            for k, cut, row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _members(b, 2)):
+                if (k, cut) != key:
+                    key, pivots = (k, cut), []
+                for pivot in pivots:
+                    if 100 * min(row[1], pivot.n[0]) >= 80 * max(row[1], pivot.n[0]):
+                        if row[2] != pivot.label[0]:
+                            found += forest(pivot, _Tile([row]), 0)
+                        break
+                else:
+                    pivots.append(_Tile([row]))
+        yield _pairs(found)
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, skey, n, bits, label) sorted by key and n. Pairs of one tile with different
-    labels whose sizes and bitmaps allow the similarity; a block is compared with itself
-    and with those before it that are not too small."""
-
-    def between(p: tuple, q: tuple, same: bool) -> list[tuple[bytes, bytes]]:
-        (ids1, n1, lab1, bits1), (ids2, n2, lab2, bits2) = p, q
-        width = min(bits1.shape[1], bits2.shape[1])
-        x, y = fold(bits1, width), fold(bits2, width)
-        out = []
-        for i in range(len(ids2)):
-            upto = i if same else len(ids1)
-            ok = (100 * n1[:upto] >= 80 * n2[i]) & (lab1[:upto] != lab2[i])
-            if not ok.any():
-                continue
-            js = np.flatnonzero(ok)
-            apart = np.bitwise_count(x[js] ^ y[i]).sum(axis=1, dtype=np.int64)
-            total = n1[js] + n2[i]
-            bound = np.minimum((total - apart) // 2, np.minimum(n1[js], n2[i]))
-            out += [(ids1[j], ids2[i]) for j in js[alike(bound, n1[js], n2[i])]]
-        return out
-
-    def block(rows: list[tuple]) -> tuple:
-        ids, n, lab, bits = zip(*rows)
-        arrays = [np.frombuffer(x, np.uint64) for x in bits]
-        width = min(len(x) for x in arrays)
-        return list(ids), np.array(n, np.int64), np.array(lab, object), np.stack([fold(x, width) for x in arrays])
+    """Rows (key, low, high, side, band, member...), sorted by the first four and n: two blocks
+    of a tile (sides 0 and 1), or one whose members are compared with each other (side 2)."""
+    at, first, rows = None, None, []
 
-    key, held, rows = None, [], []
-
-    def flush() -> Iterator[tuple[bytes, bytes]]:
-        """Ends the block that is being filled."""
+    def flush() -> list[tuple[bytes, bytes]]:
+        nonlocal first
         if not rows:
-            return
-        new = block(rows)
+            return []
+        tile = _Tile(rows)
         rows.clear()
-        held[:] = [h for h in held if 100 * h[1][-1] >= 80 * new[1][0]]
-        for h in held:
-            yield from between(h, new, False)
-        yield from between(new, new, True)
-        held.append(new)
-
-    def emit(found: list) -> pa.RecordBatch:
-        a, b = zip(*((min(p), max(p)) for p in found))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+        (*where, side), band = at
+        if side == 0:
+            first = (where, tile)
+            return []
+        if side == 2:
+            return forest(tile, tile, band)
+        return forest(first[1], tile, band) if first and first[0] == where else []
 
-    out: list = []
     for batch in batches:
-        for k, x, n, bits, lab in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            if k != key:
-                out += flush()
-                key, held = k, []
-            rows.append((x, n, lab, bits))
-            if len(rows) == BLOCK:
-                out += flush()
-            if len(out) > 50_000:
-                yield emit(out)
-                out = []
-    out += flush()
-    if out:
-        yield emit(out)
+        found = []
+        for start in range(0, batch.num_rows, 500):
+            b = batch.slice(start, 500)
+            for *where, band, row in zip(*(b.column(i).to_pylist() for i in range(5)), _members(b, 5)):
+                if at is None or where != at[0]:
+                    found += flush()
+                    at = (where, band)
+                rows.append(row)
+        yield _pairs(found)
+    yield _pairs(flush())
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,11 +314,6 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.binary()), pa.array([x[i] for i in keep], pa.binary())], names=["a", "b"])
 
 
-def _missing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """skey of all classes in a pair that have no set yet."""
-    return pairs.select(F.col("a").alias("skey")).union(pairs.select("b")).distinct().join(sets.select("skey"), "skey", "left_anti")
-
-
 def _sets(wanted: DataFrame, docs: DataFrame, sigs: DataFrame) -> DataFrame:
     """skey, shingles of the wanted classes; only one document of each is read again, or those
     of one text where all have no id."""
@@ -291,18 +329,42 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written(pairs.join(right, "b", "left").join(left, "a", "left").select("a", "b", "s", "t").mapInArrow(_verify, "a binary, b binary"), "verified")
 
 
-#: bands whose tiles get random pivots, round by round
-ROUNDS = ((0, 6),)
-
-
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _mixed(found: DataFrame, labels: DataFrame, low: int, high: int) -> DataFrame:
+    """The members (key, part, band, skey, n, label) of tiles of those bands that hold more
+    than one component, with the tile's counts: of all members and of those that are not of
+    its largest component (minor says which), each with their shingles."""
+    members = found.where(f"kind = 1 AND band >= {low} AND band < {high}").select("key", "part", "band", F.col("a").alias("skey"), "n")
+    members = members.join(labels.withColumnRenamed("node", "skey"), "skey", "left").withColumn("label", F.coalesce("label", "skey"))
+    by_label = members.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    top = F.max_by(F.struct("label", "c", "s"), F.struct("c", "label")).alias("top")
+    tiles = by_label.groupBy("key").agg(top, F.count("*").alias("labels"), F.sum("c").alias("c"), F.sum("s").alias("s")).where("labels > 1")
+    tiles = tiles.select("key", F.col("top.label").alias("top"), F.col("top.c").alias("c0"), F.col("top.s").alias("s0"), (F.col("c") - F.col("top.c")).alias("c1"), (F.col("s") - F.col("top.s")).alias("s1"))
+    return members.join(tiles, "key").withColumn("minor", F.col("label") != F.col("top")).drop("top")
+
+
+def _dealt(members: DataFrame, block: int) -> DataFrame:
+    """Each member in the pairs of blocks it belongs to. Blocks of the largest component come
+    first and don't meet each other."""
+    blocks = lambda c, s: F.greatest(F.ceil(F.col(c) / block), F.ceil(F.col(s) / BLOCK_SHINGLES))
+    h = F.xxhash64("skey", "key")
+    rows = members.withColumn("b0", blocks("c0", "s0")).withColumn("b1", blocks("c1", "s1"))
+    rows = rows.withColumn("own", F.when(F.col("minor"), F.col("b0") + F.pmod(h, F.col("b1"))).otherwise(F.pmod(h, F.col("b0"))))
+    others = F.sequence(F.when(F.col("minor"), F.lit(0).cast("long")).otherwise(F.col("b0")), F.col("b0") + F.col("b1") - 1)
+    rows = rows.withColumn("other", F.explode(others))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("int").alias("side")
+    return rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), side, "band", "skey", "n", "label")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, part_rows: int = PART) -> DataFrame:
     """id, n_shingles, component_id for each row of docs.
 
     Two documents link when 100 * |intersection| >= 80 * |union| of their shingle sets.
     component_id: the smallest id of the component, the row's own id for a text that is
     null or has no words (n_shingles 0). Rows with equal sets are always linked, repeated
     rows included. Null ids are ignored by the minimum; a component of null ids only has
-    component_id null. An empty table gives no rows; other columns of docs are ignored.
+    component_id null. An empty table gives no rows; other columns of docs are ignored. A
+    pair at exactly 0.8 links. A text of any length is one set: its shingles, 8 bytes each,
+    are in one task's memory. block and part_rows only say how large tiles are dealt out.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -315,37 +377,30 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parts = shuffle_partitions(spark)
     rows = classes.select(F.posexplode("tiles").alias("band", "key"), "skey", "n").select("key", "skey", "n", "band")
     n_parts = max(parts, classes.count() * BANDS // 1_000_000)
-    found = written(rows.repartition(n_parts, "key").sortWithinPartitions("key", "n", "skey").mapInArrow(_pivots, TILE_OUT), "tiles")
-    pairs = written(found.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("skey")).union(pairs.select("b")).distinct()
-    sets = _sets(wanted, docs, sigs)
-    read = [sets]
+    # every 64th class tells which tiles are so large that they are cut; what is found isn't affected
+    large = written(rows.where(F.pmod(F.xxhash64("skey"), F.lit(64)) == 0).groupBy("key").agg((F.count("*") * 64).alias("c")).where(F.col("c") > part_rows).select("key", F.ceil(F.col("c") / part_rows).alias("parts")), "large-tiles")
+    cut = F.when(F.col("parts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("skey", "key"), F.col("parts"))).cast("long").alias("part")
+    rows = rows.join(large, "key", "left").select("key", cut, "skey", "n", "band")
+    found = written(rows.repartition(n_parts, "key", "part").sortWithinPartitions("key", "part", "n", "skey").mapInArrow(_pivots, TILE_OUT), "tiles")
+    pairs = found.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sets = _sets(found.select(F.col("a").alias("skey")).union(found.where("kind = 0").select("b")).distinct(), docs, sigs)
     links = _links(pairs, sets)
     labels = written(connected_components(links, "a", "b"), "labels")
 
-    for low, high in (*ROUNDS, (0, BANDS)):
-        members = found.where(f"kind = 1 AND band >= {low} AND band < {high}").select("key", F.col("a").alias("skey"), "n")
-        members = members.join(labels.withColumnRenamed("node", "skey"), "skey", "left").withColumn("label", F.coalesce("label", "skey"))
-        mixed = members.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("key")
-        members = members.join(mixed, "key").join(classes.select("skey", "bits"), "skey").select("key", "skey", "n", "bits", "label")
-        if (low, high) == (0, BANDS):
-            dealt = members.repartition(parts, "key").sortWithinPartitions("key", "n", "skey").mapInArrow(_across, "a binary, b binary")
+    member = classes.select("skey", "bits", "tiles").join(sets, "skey")
+    for k, (low, high) in enumerate((STARS, *ROUNDS)):
+        members = _mixed(found, labels, low, high)
+        if k == 0:
+            dealt = members.select("key", "part", "skey", "n", "label").join(member, "skey").select("key", "part", *MEMBER)
+            dealt = dealt.repartition(parts, "key", "part").sortWithinPartitions("key", "part", F.xxhash64("skey", "key")).mapInArrow(_stars, "a binary, b binary")
         else:
-            dealt = members.repartition(parts, "key").sortWithinPartitions("key", F.xxhash64("skey", "key")).mapInArrow(_stars, "a binary, b binary")
-        more = written(dealt.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+            dealt = _dealt(members, block).join(member, "skey").select("key", "low", "high", "side", "band", *MEMBER)
+            dealt = dealt.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high", "side", "n", "skey").mapInArrow(_across, "a binary, b binary")
+        more = written(dealt.distinct(), "links")
         if more.take(1):
-            # a class that follows no pivot and has no follower is in no pair before
-            missing = written(_missing(more, sets), "missing")
-            if missing.take(1):
-                read.append(_sets(missing, docs, sigs))
-                sets = sets.union(read[-1])
-            extra = _links(more, sets)
-            pairs = pairs.union(more)
-            if extra.take(1):
-                labels = written(connected_components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b").union(extra), "a", "b"), "labels")
+            labels = written(connected_components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b").union(more), "a", "b"), "labels")
     forget(found)
-    for part in read:
-        forget(part)
+    forget(sets)
 
     rooted = classes.select("skey", "id").join(labels.withColumnRenamed("node", "skey"), "skey", "left").withColumn("label", F.coalesce("label", "skey"))
     lowest = rooted.groupBy("label").agg(F.min("id").alias("component_id"))
