@@ -18,6 +18,7 @@ def test_client(spark, sf_dir, tmp_path):
     for mode in ("caching-only", "hybrid", "pullup", "pushdown-only"):
         assert c.run(f"set mode {mode}") == f"mode {mode}"
         assert c.run("sql SELECT r_name FROM region ORDER BY r_name").splitlines()[:-1] == before
+    assert "say \"hi\"" in c.run("""sql SELECT 'say "hi"' AS "a b" """) and "a b" in c.run("""sql SELECT 1 AS "a b" """)
     assert "Scan parquet" in c.run("explain SELECT r_name FROM region") and c.run("what") == "no command 'what'"
     assert c.run("quit") is None
 

@@ -67,6 +67,29 @@ def test_merge_columns_checks_its_input(a):
         R.merge_columns(a, a, ["aa"])
     with pytest.raises(ValueError, match="same rows"):
         R.merge_columns(a, b.where("aa < 3"), ["aa"])
+    with pytest.raises(ValueError, match="same rows"):  # many times in one table, never in the other
+        R.merge_columns(a.where("aa = 1").crossJoin(a.sparkSession.range(1001)).drop("id"), b.where("false"), ["aa"])
+
+
+@pytest.mark.parametrize("max_bits", [1 << 23, 64])
+def test_bloom_filter_loses_nothing(spark, max_bits):
+    probe = spark.range(5000).select(F.when(F.col("id") % 10 != 0, F.col("id")).alias("k"), F.col("id").alias("v"))
+    build = spark.range(0, 5000, 7).select(F.when(F.col("id") != 21, F.col("id")).alias("j"))
+    want = rows(R.hash_join(probe, build, [("k", "j")]))
+    got = R.bloom_join(probe, build, [("k", "j")], max_bits=max_bits)
+    assert rows(got) == want and len(want) > 600
+    words, bits, hashes = R.bloom_filter(build, ["j"], max_bits=max_bits)
+    assert bits <= max_bits and len(words.first()["words"]) == bits // 64 and words.count() == 1
+    assert rows(R.bloom_join(probe, build.where("false"), [("k", "j")])) == []
+
+
+def test_bloom_filter_drops_most_others(spark):
+    build = spark.range(1000).select(F.col("id").alias("j"))
+    words, bits, hashes = R.bloom_filter(build, ["j"], fpr=0.01)
+    held = words.first()["words"]
+    places = spark.range(10_000, 30_000).select(*(p.alias(f"p{i}") for i, p in enumerate(R._places(["id"], bits, hashes)))).collect()
+    passed = sum(all(held[p >> 6] >> (p & 63) & 1 for p in r) for r in places)
+    assert passed < 0.02 * len(places)
 
 
 def test_nulls_come_last_both_ways(spark):

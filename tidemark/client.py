@@ -14,6 +14,7 @@ from typing import TextIO
 from pyspark.sql import SparkSession
 
 from tidemark import report
+from tidemark.plans.sqltext import spark_sql
 from tidemark.sources.modes import Mode
 from tidemark.sources.tables import views
 
@@ -25,7 +26,7 @@ class Client:
         self.names = names
 
     def sql(self, text: str):
-        return self.spark.sql(text.replace('"', "`"))
+        return self.spark.sql(spark_sql(text))
 
     def run(self, command: str) -> str | None:
         """The answer to a command without its semicolon; None ends the session."""

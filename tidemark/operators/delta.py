@@ -1,7 +1,7 @@
 """Fresh reads: a stable base table merged with versioned change records.
 
 A change record has the base columns, ``type`` (INSERT, UPDATE or DELETE; an update is the
-row after it), ``_version`` (of its batch) and ``_seq`` (its place in the batch). For each
+row after it), ``_version`` (of its batch) and ``_seq`` (its place in the batch, of any type that has an order). For each
 primary key the last change by version and place wins; if it is a DELETE the row is gone.
 Versions may arrive in any order and more than once.
 """
@@ -29,16 +29,17 @@ def latest_changes(deltas: DataFrame, keys: list[str], version: int | None = Non
 def snapshot(stable: DataFrame, deltas: DataFrame, keys: list[str], version: int | None = None) -> DataFrame:
     """All rows as of a version: base and changes ranked together by key. One shuffle of
     both; ``fresh`` gives the same rows and shuffles less when there are few changes."""
-    base = stable.withColumns({"type": F.lit("INSERT"), "_version": F.lit(-1).cast("long"), "_seq": F.lit(0).cast("long")})
+    base = stable.withColumns({"type": F.lit("INSERT"), "_version": F.lit(-1).cast("long"), "_seq": F.lit(None).cast(deltas.schema["_seq"].dataType)})
     changes = conform(deltas if version is None else deltas.where(F.col("_version") <= version), stable)
     return latest(base.unionByName(changes), keys, "_version", "_seq").where("type <> 'DELETE'").drop(*META)
 
 
 def fresh(stable: DataFrame, deltas: DataFrame, keys: list[str], version: int | None = None) -> DataFrame:
     """The same by visibility: base rows whose key has no change, and the last changes that
-    aren't deletes. The base is only anti-joined by the changed keys, never ranked."""
-    changes = latest_changes(conform(deltas, stable), keys, version)
-    return visible(stable, changes, keys).unionByName(changes.where("type <> 'DELETE'").drop(*META))
+    aren't deletes. The base is only anti-joined by the changed keys, never ranked, and the
+    changes are ranked once: any change of a key hides its base row."""
+    changes = conform(deltas if version is None else deltas.where(F.col("_version") <= version), stable)
+    return visible(stable, changes, keys).unionByName(latest_changes(changes, keys).where("type <> 'DELETE'").drop(*META))
 
 
 def visible(stable: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
@@ -54,7 +55,7 @@ def compact(deltas: DataFrame, keys: list[str]) -> DataFrame:
 
 def keep_map(stable: DataFrame, deltas: DataFrame, keys: list[str], version: int | None = None) -> DataFrame:
     """Each base key with whether its base row is visible."""
-    hidden = latest_changes(deltas, keys, version).select(*keys, F.lit(True).alias("_hidden"))
+    hidden = (deltas if version is None else deltas.where(F.col("_version") <= version)).select(*keys).distinct().withColumn("_hidden", F.lit(True))
     return stable.select(*keys).join(hidden, keys, "left").select(*keys, F.col("_hidden").isNull().alias("visible"))
 
 

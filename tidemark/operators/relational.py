@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,8 +75,8 @@ def merge_columns(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFra
     keys differ or repeat: checked by counting before anything is joined."""
     if twice := sorted((set(left.columns) & set(right.columns)) - set(keys)):
         raise ValueError(f"columns in both tables: {', '.join(twice)}")
-    side = lambda df, n: df.select(*keys, F.lit(n).alias("_side"))
-    odd = side(left, 1).union(side(right, 1000)).groupBy(*keys).agg(F.sum("_side").alias("s")).where("s <> 1001").limit(1).count()
+    side = lambda df, a, b: df.select(*keys, F.lit(a).alias("_left"), F.lit(b).alias("_right"))
+    odd = side(left, 1, 0).union(side(right, 0, 1)).groupBy(*keys).agg(F.sum("_left").alias("l"), F.sum("_right").alias("r")).where("l <> 1 OR r <> 1").limit(1).count()
     if odd:
         raise ValueError("the tables don't have the same rows")
     right = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
@@ -95,6 +97,38 @@ def latest(df: DataFrame, keys: list[str], *by: str) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def bloom_filter(build: DataFrame, columns: list[str], fpr: float = 0.01, max_bits: int = 1 << 23) -> tuple[DataFrame, int, int]:
+    """A Bloom filter of the distinct keys as one row with an array of 64-bit words, its number
+    of bits and of hashes. The bits follow from the number of keys and the rate of false
+    positives, up to max_bits: beyond that the rate grows, not the filter. Keys with a null
+    set no bit."""
+    present = build.select(*columns).dropna()
+    n = present.agg(F.approx_count_distinct(F.struct(*columns))).first()[0]
+    wanted = math.ceil(max(1, n) * -math.log(fpr) / math.log(2) ** 2)
+    bits = min(max_bits, max(64, -(-wanted // 64) * 64))
+    hashes = max(1, min(16, round(bits / max(1, n) * math.log(2))))
+    places = present.select(F.explode(F.array(*_places(columns, bits, hashes))).alias("p"))
+    words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("v"))
+    every = build.sparkSession.range(bits // 64).select(F.col("id").alias("w")).join(words, "w", "left").select("w", F.coalesce("v", F.lit(0).cast("long")).alias("v"))
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "v"))), lambda x: x["v"]).alias("words")), bits, hashes
+
+
+def _places(columns: list[str], bits: int, hashes: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(F.lit(k), *columns), F.lit(bits)) for k in range(hashes)]
+
+
+def bloom_join(probe: DataFrame, build: DataFrame, keys: list[tuple[str, str]], fpr: float = 0.01, max_bits: int = 1 << 23) -> DataFrame:
+    """An inner equi-join whose probe rows first pass a Bloom filter of the build side's keys,
+    before they are shuffled. The filter decides nothing: a false positive finds no partner
+    in the join. Both sides' keys are of one type, as the filter hashes them."""
+    words, bits, hashes = bloom_filter(build, [b for _, b in keys], fpr, max_bits)
+    held = words.scalar()  # one value of at most max_bits
+    may = F.lit(True)
+    for p in _places([a for a, _ in keys], bits, hashes):
+        may = may & (F.getbit(F.get(held, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1)
+    return hash_join(probe.where(may), build, keys)
+
+
 def semi_reduction(probe: DataFrame, build: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
     """The probe rows that can match: what a Bloom filter of the build keys would pass, without
     its false positives. Spark adds its own runtime filters to large joins; this is for

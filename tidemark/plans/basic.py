@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import json
+import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,11 +64,26 @@ def scan_project_exist(s, d):
 
 
 def _shared(s: SparkSession, tag: str) -> str:
-    """A new folder that all executors see: in spark.checkpoint.dir, or a local one in local mode."""
-    import uuid
-
-    root = s.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    """A new folder that all executors see: in spark.checkpoint.dir, or where neither that nor a
+    checkpoint folder is set a temporary one, in local mode only. Removed when the process
+    ends, since lazy results may read it until then."""
+    sc = s.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not root:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        return f"file://{own}/{tag}"
+    path = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    atexit.register(_remove, sc, path)
+    return path
+
+
+def _remove(sc, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _declared(root: str) -> Catalog:
@@ -238,6 +257,12 @@ def agg_count_distinct(s, d):
     return R.group(table(s, d, "lineitem"), ["l_returnflag"], F.countDistinct("l_suppkey").alias("n"))
 
 
+@query("SELECT p_brand, AVG(p_size) AS a, AVG(CASE WHEN p_size > 25 THEN p_size END) AS large FROM part GROUP BY p_brand")
+def agg_avg(s, d):
+    """Averages of whole numbers, which both engines divide alike; nulls don't count."""
+    return R.group(table(s, d, "part"), ["p_brand"], F.avg("p_size").alias("a"), F.avg(F.when(col("p_size") > 25, col("p_size"))).alias("large"))
+
+
 @query("SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING COUNT(*) > 12")
 def agg_having(s, d):
     return R.group(table(s, d, "orders"), ["o_custkey"], F.count("*").alias("n")).where("n > 12")
@@ -255,17 +280,24 @@ def agg_null_keys(s, d):
 
 # ---- joins
 
-def _few(s, d):
-    return table(s, d, "orders").where("o_orderkey % 3 = 0").select("o_orderkey", "o_custkey"), table(s, d, "customer").where("c_custkey % 2 = 0").select("c_custkey", "c_nationkey")
+# NULLIF makes null keys and rows without a partner
+
+def _whole(s, d):
+    return table(s, d, "orders").select("o_orderkey", F.nullif(col("o_custkey"), F.lit(7)).alias("ok")), table(s, d, "customer").select(F.nullif(col("c_custkey"), F.lit(11)).alias("ck"), "c_nationkey")
 
 
-_O, _C = "(SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 3 = 0) o", "(SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey % 2 = 0) c"
+_O, _C = "(SELECT o_orderkey, NULLIF(o_custkey, 7) AS ok FROM orders) o", "(SELECT NULLIF(c_custkey, 11) AS ck, c_nationkey FROM customer) c"
+_S, _N = "(SELECT s_suppkey, s_acctbal FROM supplier) s", "(SELECT n_nationkey, n_nationkey * 400.0 AS bar FROM nation) n"
 for _how, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("full", "FULL JOIN")):
-    QUERIES[f"join_{_how}"] = lambda s, d, how=_how: R.hash_join(*_few(s, d), [("o_custkey", "c_custkey")], how)
-    SQL[f"join_{_how}"] = f"SELECT * FROM {_O} {_sql} {_C} ON o_custkey = c_custkey"
+    QUERIES[f"join_{_how}"] = lambda s, d, how=_how: R.hash_join(*_whole(s, d), [("ok", "ck")], how)
+    SQL[f"join_{_how}"] = f"SELECT * FROM {_O} {_sql} {_C} ON ok = ck"
+    QUERIES[f"join_theta_{_how}"] = lambda s, d, how=_how: R.nested_loop_join(
+        table(s, d, "supplier").select("s_suppkey", "s_acctbal"), table(s, d, "nation").select("n_nationkey", (col("n_nationkey") * 400.0).alias("bar")),
+        (col("s_acctbal") < col("bar")) & (col("s_acctbal") > col("bar") - 150), how)
+    SQL[f"join_theta_{_how}"] = f"SELECT s_suppkey, s_acctbal, n_nationkey, CAST(bar AS DOUBLE) AS bar FROM {_S} {_sql} {_N} ON s_acctbal < bar AND s_acctbal > bar - 150"
 for _how, _sql in (("semi", "EXISTS"), ("anti", "NOT EXISTS")):
-    QUERIES[f"join_{_how}"] = lambda s, d, how=_how: R.hash_join(*_few(s, d), [("o_custkey", "c_custkey")], how)
-    SQL[f"join_{_how}"] = f"SELECT * FROM {_O} WHERE {_sql} (SELECT 1 FROM {_C} WHERE c_custkey = o_custkey)"
+    QUERIES[f"join_{_how}"] = lambda s, d, how=_how: R.hash_join(*_whole(s, d), [("ok", "ck")], how)
+    SQL[f"join_{_how}"] = f"SELECT * FROM {_O} WHERE {_sql} (SELECT 1 FROM {_C} WHERE ck = ok)"
 
 
 @query(f"SELECT a.l_partkey, a.l_suppkey, a.n, b.q FROM (SELECT l_partkey, l_suppkey, COUNT(*) AS n FROM lineitem GROUP BY ALL) a JOIN (SELECT l_partkey AS pk, l_suppkey AS sk, {dsum('l_quantity')} AS q FROM lineitem WHERE l_tax > 0.05 GROUP BY ALL) b ON a.l_partkey = b.pk AND a.l_suppkey = b.sk")
@@ -281,40 +313,17 @@ def join_cross(s, d):
     return R.nested_loop_join(table(s, d, "nation"), table(s, d, "region")).select("n_name", "r_name")
 
 
-_S, _N = "(SELECT s_suppkey, s_acctbal FROM supplier WHERE s_suppkey < 40) s", "(SELECT n_nationkey, n_regionkey * 2000.0 AS bar FROM nation WHERE n_nationkey < 5) n"
-for _how, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("full", "FULL JOIN")):
-    QUERIES[f"join_theta_{_how}"] = lambda s, d, how=_how: R.nested_loop_join(
-        table(s, d, "supplier").where("s_suppkey < 40").select("s_suppkey", "s_acctbal"),
-        table(s, d, "nation").where("n_nationkey < 5").select("n_nationkey", (col("n_regionkey") * 2000.0).alias("bar")),
-        (col("s_acctbal") < col("bar")) & (col("s_suppkey") > col("n_nationkey") + 3), how)
-    SQL[f"join_theta_{_how}"] = f"SELECT s_suppkey, s_acctbal, n_nationkey, CAST(bar AS DOUBLE) AS bar FROM {_S} {_sql} {_N} ON s_acctbal < bar AND s_suppkey > n_nationkey + 3"
-
-
-# the same over whole tables; NULLIF makes null keys and rows without a partner
-
-def _whole(s, d):
-    return table(s, d, "orders").select("o_orderkey", F.nullif(col("o_custkey"), F.lit(7)).alias("ok")), table(s, d, "customer").select(F.nullif(col("c_custkey"), F.lit(11)).alias("ck"), "c_nationkey")
-
-
-_O, _C = "(SELECT o_orderkey, NULLIF(o_custkey, 7) AS ok FROM orders) o", "(SELECT NULLIF(c_custkey, 11) AS ck, c_nationkey FROM customer) c"
-_S, _N = "(SELECT s_suppkey, s_acctbal FROM supplier) s", "(SELECT n_nationkey, n_nationkey * 400.0 AS bar FROM nation) n"
-for _how, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("full", "FULL JOIN")):
-    QUERIES[f"join_whole_{_how}"] = lambda s, d, how=_how: R.hash_join(*_whole(s, d), [("ok", "ck")], how)
-    SQL[f"join_whole_{_how}"] = f"SELECT * FROM {_O} {_sql} {_C} ON ok = ck"
-    QUERIES[f"join_theta_whole_{_how}"] = lambda s, d, how=_how: R.nested_loop_join(
-        table(s, d, "supplier").select("s_suppkey", "s_acctbal"), table(s, d, "nation").select("n_nationkey", (col("n_nationkey") * 400.0).alias("bar")),
-        (col("s_acctbal") < col("bar")) & (col("s_acctbal") > col("bar") - 150), how)
-    SQL[f"join_theta_whole_{_how}"] = f"SELECT s_suppkey, s_acctbal, n_nationkey, CAST(bar AS DOUBLE) AS bar FROM {_S} {_sql} {_N} ON s_acctbal < bar AND s_acctbal > bar - 150"
-for _how, _sql in (("semi", "EXISTS"), ("anti", "NOT EXISTS")):
-    QUERIES[f"join_whole_{_how}"] = lambda s, d, how=_how: R.hash_join(*_whole(s, d), [("ok", "ck")], how)
-    SQL[f"join_whole_{_how}"] = f"SELECT * FROM {_O} WHERE {_sql} (SELECT 1 FROM {_C} WHERE ck = ok)"
-
-
 @query("SELECT a.n_nationkey, a.n_name, a.n_regionkey, b.n_nationkey AS n_nationkey_r, b.n_name AS n_name_r, b.n_regionkey AS n_regionkey_r FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
 def join_rename_conflict(s, d):
     return R.hash_join(table(s, d, "nation"), table(s, d, "nation"), [("n_regionkey", "n_regionkey")])
 
 
+@query("SELECT l_orderkey, l_linenumber, o_orderdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 300000")
+def join_bloom(s, d):
+    o = table(s, d, "orders").where((col("o_orderpriority") == "1-URGENT") & (col("o_totalprice") > 300000))
+    return R.bloom_join(table(s, d, "lineitem"), o, [("l_orderkey", "o_orderkey")]).select("l_orderkey", "l_linenumber", "o_orderdate")
+
+
 @query("SELECT n_name, r_name FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 0) r ON n_regionkey = r_regionkey")
 def join_empty_side(s, d):
     return R.hash_join(table(s, d, "nation"), table(s, d, "region").where("r_regionkey < 0"), [("n_regionkey", "r_regionkey")], "left").select("n_name", "r_name")
@@ -407,18 +416,24 @@ def prune_zone_map(s, d):
     return left.where("o_orderkey >= 300 AND o_orderkey < 400 AND (o_custkey < 500 OR o_orderkey > 1000000)").select("o_orderkey", "o_totalprice")
 
 
+_scans: dict[tuple[str, Mode], Scans] = {}
+
+
 def _mode(mode: Mode):
     def f(s, d):
-        scans = Scans(mode)
-        li = table(s, d, "lineitem")
+        """In the hybrid mode two columns come from memory and the third from a pushed-down scan."""
+        for old in [x for x in _scans if x[1] is mode]:  # what the query's last run kept
+            _scans.pop(old).close()
+        scans = _scans[d, mode] = Scans(mode, {"orders": ("o_orderkey",)})
+        o = table(s, d, "orders")
         if mode is Mode.HYBRID:
-            scans.keep("lineitem", li, ["l_returnflag", "l_quantity"])
-        df = scans.scan("lineitem", li, ["l_returnflag", "l_quantity"], col("l_discount") > 0.05, ("l_discount",))
-        return R.group(df, ["l_returnflag"], _sum(col("l_quantity")).alias("q"))
+            scans.keep("orders", o, ["o_orderstatus", "o_totalprice"])
+        df = scans.scan("orders", o, ["o_orderstatus", "o_totalprice"], (col("o_orderpriority") < "3") & (col("o_totalprice") > 50_000), ("o_orderpriority",))
+        return R.group(df, ["o_orderstatus"], _sum(col("o_totalprice")).alias("q"))
 
     return f
 
 
 for _m, _name in ((Mode.PULL_UP, "mode_pullup"), (Mode.PUSHDOWN_ONLY, "mode_pushdown"), (Mode.CACHING_ONLY, "mode_caching"), (Mode.HYBRID, "mode_hybrid_equiv")):
     QUERIES[_name] = _mode(_m)
-    SQL[_name] = f"SELECT l_returnflag, {dsum('l_quantity')} AS q FROM lineitem WHERE l_discount > 0.05 GROUP BY l_returnflag"
+    SQL[_name] = f"SELECT o_orderstatus, {dsum('o_totalprice')} AS q FROM orders WHERE o_orderpriority < '3' AND o_totalprice > 50000 GROUP BY o_orderstatus"

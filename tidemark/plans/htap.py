@@ -18,7 +18,8 @@ from tidemark.operators import cache_policy as C
 from tidemark.operators import delta as D
 from tidemark.plans.sqltext import dsum
 from tidemark.sources.tables import table
-from tidemark.streaming.upsert import SnapshotTable, run, stream_changes
+from tidemark.sources.changes import LogReader
+from tidemark.streaming.upsert import MergeTable, run, stream_changes
 
 KEY = ["o_orderkey"]
 COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
@@ -116,17 +117,34 @@ def fresh_join_agg(s, d):
 
 
 def stream_delta_upsert(s, d):
-    """The three batches of changes through a stream into snapshots; the newest snapshot."""
+    """The three batches of changes through a stream into change files beside the base, read merged."""
     root = _folder(s, "stream")
     all_ = changes(s, d)
     for v in (1, 2, 3):
         all_.where(F.col("_version") == v).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    out = SnapshotTable(s, f"{root}/table", KEY)
+    out = MergeTable(s, f"{root}/table", KEY, compact_every=2)
     out.create(_base(s, d))
     run(stream_changes(s, f"{root}/in", all_.schema), out, f"{root}/state-{uuid.uuid4().hex}").awaitTermination()
     return out.read()
 
 
+def log_reader_merge(s, d):
+    """The same changes as logs of JSON lines, one file a version, in the order of the log: all
+    records have one time, and only their place in the file tells which is the last of a key."""
+    root, base = _folder(s, "logs"), _base(s, d)
+    record = F.to_json(F.struct(F.lit("orders").alias("table"), "type", F.lit(1000).cast("long").alias("ts"), F.struct(*COLUMNS).alias("row"))).alias("value")
+    other = F.to_json(F.struct(F.lit("customer").alias("table"), F.lit("DELETE").alias("type"), F.lit(1000).cast("long").alias("ts"), F.struct(*COLUMNS).alias("row"))).alias("value")
+    path = s.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(s.sparkContext._jsc.hadoopConfiguration())
+    for v in (1, 2, 3):
+        batch = changes(s, d).where(F.col("_version") == v)
+        batch.select(record, "_seq").union(batch.where("_seq = 0").select(other, "_seq")).repartition(1).sortWithinPartitions("_seq").select("value").write.text(f"{root}/parts-{v}")
+        part = next(x.getPath() for x in fs.listStatus(path(f"{root}/parts-{v}")) if x.getPath().getName().startswith("part-"))
+        fs.rename(part, path(f"{root}/change.{v:06d}.json"))
+    log, _ = LogReader(s, root, "orders", base.schema).pull()
+    return D.fresh(base, log, KEY)
+
+
 def cache_policy_trace(s, d):
     """One fixed trace through the five policies: requests, hits and bytes kept at the end."""
     columns = [("lineitem", p, c) for p in range(3) for c in ("l_orderkey", "l_quantity", "l_shipdate")]
@@ -139,11 +157,11 @@ def cache_policy_trace(s, d):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (delta_merge_snapshot, delta_merge_incremental, delta_merge_delete, delta_merge_versions, delta_merge_disk, delta_compaction, delta_stable_visibility, delta_route, fresh_join_agg, stream_delta_upsert, cache_policy_trace)
+    f.__name__: f for f in (delta_merge_snapshot, delta_merge_incremental, delta_merge_delete, delta_merge_versions, delta_merge_disk, delta_compaction, delta_stable_visibility, delta_route, fresh_join_agg, stream_delta_upsert, log_reader_merge, cache_policy_trace)
 }
 _V3 = _sql(3)
 SQL: dict[str, str] = {
-    "delta_merge_snapshot": _V3, "delta_merge_incremental": _V3, "delta_merge_disk": _V3, "delta_compaction": _V3, "stream_delta_upsert": _V3,
+    "delta_merge_snapshot": _V3, "delta_merge_incremental": _V3, "delta_merge_disk": _V3, "delta_compaction": _V3, "stream_delta_upsert": _V3, "log_reader_merge": _V3,
     "delta_merge_delete": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 17 <> 5",
     "delta_merge_versions": " UNION ALL ".join(f"SELECT {v} AS version, COUNT(*) AS n, {dsum('o_totalprice')} AS total FROM ({_sql(v)}) t{v}" for v in range(4)),
     "delta_stable_visibility": "SELECT o_orderkey, NOT (o_orderkey % 10 = 3 OR o_orderkey % 17 = 5) AS visible FROM orders",

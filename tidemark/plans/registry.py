@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.plans import basic, htap, ssb, tpch
-from tidemark.sources.tables import views
+from tidemark.plans.sqltext import spark_sql
+from tidemark.sources.tables import RELATIONAL, views
 
 SQL_QUERIES: dict[str, str] = basic.SUBQUERIES | tpch.QUERIES | ssb.QUERIES
 
 
 def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """A query over the tables of a folder. Double quotes name identifiers, as in SQL."""
-    views(spark, sf_dir)
-    return spark.sql(text.replace('"', "`"))
+    """A query over the tables of a folder. Double quotes name identifiers, as in SQL; only the
+    tables whose names occur in the text are opened."""
+    words = set(re.findall(r"\w+", text.lower()))
+    views(spark, sf_dir, tuple(t for t in RELATIONAL if t in words))
+    return spark.sql(spark_sql(text))
 
 
 def queries() -> dict:

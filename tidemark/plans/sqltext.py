@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 
 def dsum(x: str, scale: int = 4) -> str:
     """A sum of doubles that doesn't depend on the order of the rows."""
@@ -18,3 +20,12 @@ def isum(x: str) -> str:
 
 def year(x: str) -> str:
     return f"CAST(EXTRACT(YEAR FROM {x}) AS BIGINT)"
+
+
+_QUOTED = re.compile(r"""'(?:[^']|'')*'|--[^\n]*|`[^`]*`|"((?:[^"]|"")*)\"""")
+
+
+def spark_sql(text: str) -> str:
+    """Identifiers in double quotes, as in SQL, in Spark's own; string literals and comments
+    stay as they are."""
+    return _QUOTED.sub(lambda m: m[0] if m[1] is None else "`" + m[1].replace('""', '"').replace("`", "``") + "`", text)
