@@ -119,8 +119,9 @@ def brute_links(rows, threshold=0.95):
     good = {}
     for i, (key, v) in enumerate(rows):
         if v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v):
-            good[i] = np.array(v, np.float64) / np.linalg.norm(np.array(v, np.float64))
-    links = {i: {j for j in good if j != i and float(good[i] @ good[j]) >= threshold} if i in good else set() for i in range(len(rows))}
+            x = np.array(v, np.float64) / max(map(abs, v))
+            good[i] = x / np.linalg.norm(x)
+    links = {i: {j for j in good if j != i and len(good[i]) == len(good[j]) and float(good[i] @ good[j]) >= threshold} if i in good else set() for i in range(len(rows))}
     label = {i: rows[i][0] for i in links}
     for _ in rows:
         for i, js in links.items():
@@ -129,6 +130,44 @@ def brute_links(rows, threshold=0.95):
     return sorted((rows[i][0], len(links[i]), label[i], rows[i][0] == label[i]) for i in links)
 
 
+def test_stored_codes_give_unbiased_bounded_estimates():
+    rng = np.random.default_rng(1)
+    for dim in (2, 3, 64, 129):
+        v = embedding_dedup._unit(rng.standard_normal((400, dim)) * rng.choice([1e-200, 1.0, 1e200], (400, 1)))
+        raw = embedding_dedup.packed_codes(v, embedding_dedup.rotation_of(dim))
+        assert raw.shape[1] == -(-dim // 8) + -(-dim // 2) + 12
+        x, q, f, step = codes = embedding_dedup.unpacked_codes(raw, dim)
+        if dim >= 64:
+            error = q @ x.T / f[None, :] - v @ v.T
+            assert abs(error.mean()) < 0.01
+        near = v + rng.standard_normal(v.shape) * 0.01 / math.sqrt(dim)
+        others = embedding_dedup.unpacked_codes(embedding_dedup.packed_codes(embedding_dedup._unit(near), embedding_dedup.rotation_of(dim)), dim)
+        kept = np.concatenate([can for _, can in embedding_dedup.undecided(codes, others, dim, 0.95, 6.0)])
+        assert kept[v @ embedding_dedup._unit(near).T >= 0.95].all()
+        if dim == 129:
+            assert kept.mean() < 0.01
+
+
+def test_links_at_the_threshold_and_of_other_lengths(spark):
+    """Planted pairs at a cosine of 0.95 to 0.952 (and just below) among others, and short vectors."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(600):
+        a, b = rng.standard_normal(32), rng.standard_normal(32)
+        a /= np.linalg.norm(a)
+        b -= (b @ a) * a
+        b /= np.linalg.norm(b)
+        c = 0.95 + (0.002 if k % 3 else -0.002) * float(rng.random())
+        rows += [(len(rows), a.tolist()), (len(rows) + 1, (3 * (c * a + math.sqrt(1 - c * c) * b)).tolist())]
+    rows += [(5000, [1.0, 2.0]), (5001, [1.0, 2.0]), (5002, [2.0, 4.1]), (5003, [1.0]), (5004, [7.0]), (5005, [-7.0]), (5006, [1e200, 2e200]), (5007, [1e-200, 2e-200])]
+    ids = np.random.default_rng(2).permutation(len(rows)).tolist()
+    rows = [(ids[i], v) for i, (_, v) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, embedding_dedup.near_duplicates(df).select("vec_id", "n_links", "component_id", "kept").collect()))
+    want = brute_links(rows)
+    assert got == want and sum(n > 0 for _, n, _, _ in want) > 800
+
+
 @pytest.mark.parametrize("block", [4096, 5])
 def test_links_against_all_pairs(spark, block):
     rng = np.random.default_rng(5)
@@ -232,3 +271,28 @@ def test_pipeline_on_odd_rows(spark, sf_dir, odd):
     assert P.STAGES[-1][1](spark, docs, sf_dir).select(F.count("*")).first()[0] == docs.count()
     for _, stage in P.STAGES:
         assert stage(spark, odd.where("false"), sf_dir).count() == 0
+
+
+def test_near_duplicates_stage_drops_rows_not_ids(spark):
+    import corpus_pipeline as P
+
+    copy, other = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(7, copy, 0), (5, copy, 1), (5, copy, 2), (5, other, 3), (None, copy, 4), (None, "only here and nowhere else at all", 5), (None, "only here and nowhere else at all", 6), (8, None, 7), (8, None, 8), (9, "", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row int")
+    got = dict(P.STAGES)["near_duplicates"](spark, docs, "")
+    left = [(r.doc_id, r.text) for r in got.collect()]
+    assert got.columns == docs.columns and len(left) == 6
+    assert left.count((5, copy)) == 1 and (5, other) in left and left.count((None, rows[5][1])) == 1 and left.count((8, None)) == 2 and (9, "") in left
+
+
+def test_pipeline_without_labels_and_items(spark, sf_dir, tmp_path):
+    import corpus_pipeline as P
+
+    docs = table(spark, sf_dir, "documents").limit(60)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        table(spark, sf_dir, name).where("false").write.parquet(f"{tmp_path}/{name}.parquet")
+    stages = dict(P.STAGES)
+    assert stages["quality"](spark, docs, str(tmp_path)).count() == 60 == stages["decontamination"](spark, docs, str(tmp_path)).count()
+    out = P.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_tokens", "decodes", "ids"] and 0 < out.count() <= 60 and out.where("NOT decodes").count() == 0

@@ -3,19 +3,24 @@
 A unit vector o is rotated by a fixed random orthogonal matrix; its code is the signs of
 the rotated vector, read as the unit vector x with components +-1/sqrt(D). With the stored
 factor f = <x, o> the estimate <x, q> / f of <o, q> is unbiased over the rotation, with a
-standard error of sqrt((1 - f^2) / f^2 / (D - 1)). A pair whose estimate plus ``sigmas``
-errors stays below the threshold, seen from either side, is dropped; all others are
-recomputed exactly in double precision.
+standard error of sqrt((1 - f^2) / f^2 / (D - 1)). q is the other vector's rotated form in
+four bits a component, rounded at random (a fixed dither), which adds a standard error of at
+most half a step. A pair whose estimate plus ``sigmas`` errors stays below the threshold,
+seen from either side, is dropped; all others are recomputed exactly in double precision.
 
+Codes, factors and four-bit forms are computed once and stored: 5 D / 8 + 12 bytes a vector.
 Pairs to estimate come from tables of k code bits of further rotations (buckets). k grows
 with the logarithm of the number of distinct vectors, and the number of tables is what a
-chance of ``miss`` of losing a pair at the threshold asks for. A bucket of more than
-``block`` vectors is dealt to block pairs, so no task holds it all; a pair is counted in
-the first table in which it meets. Equal vectors are one vector with a weight.
+chance of ``miss`` of losing a pair at the threshold asks for. Only the stored codes are
+dealt to buckets; a vector itself follows to those buckets where one of its pairs is
+undecided. A bucket of more than ``block`` vectors is dealt to block pairs, so no task holds
+it all; a pair is counted in the first table in which it meets. Equal vectors are one vector
+with a weight, and vectors of different lengths never meet.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -30,6 +35,7 @@ from tidemark.llm.components import connected_components
 SEED = 7
 
 
+@functools.lru_cache(maxsize=8)
 def rotations(dim: int, bits: int, tables: int) -> np.ndarray:
     """[dim, tables * bits]: rows of random rotations, as many as are needed."""
     rng = np.random.default_rng(SEED + 1)
@@ -41,7 +47,13 @@ def rotations(dim: int, bits: int, tables: int) -> np.ndarray:
     return np.concatenate(parts, axis=1)[:, : tables * bits]
 
 
-def plan(n: int, threshold: float, miss: float, per_bucket: int = 128) -> tuple[int, int]:
+@functools.lru_cache(maxsize=8)
+def rotation_of(dim: int) -> np.ndarray:
+    """The rotation of the codes."""
+    return np.linalg.qr(np.random.default_rng(SEED).standard_normal((dim, dim)))[0]
+
+
+def plan(n: int, threshold: float, miss: float, per_bucket: int = 512) -> tuple[int, int]:
     """Bits of a bucket and number of tables for n vectors."""
     bits = int(min(30, max(3, round(math.log2(max(n, 2) / per_bucket)))))
     agree = (1 - math.acos(threshold) / math.pi) ** bits
@@ -60,8 +72,49 @@ def estimates(turned: np.ndarray, codes: np.ndarray, factors: np.ndarray) -> np.
     return (turned.astype(np.float32) @ codes.T.astype(np.float32)) / factors[None, :].astype(np.float32)
 
 
+# ---- stored codes: signs, four-bit components, factor, smallest component, step
+
+def packed_codes(unit: np.ndarray, rotation: np.ndarray) -> np.ndarray:
+    """[vector, byte] of unit vectors."""
+    n, dim = unit.shape
+    turned, _, factor = code_of(unit, rotation)
+    low = turned.min(axis=1)
+    step = np.maximum((turned.max(axis=1) - low) / 15, 1e-12)
+    dither = np.random.default_rng(SEED + 2).random(dim)
+    levels = np.clip(np.floor((turned - low[:, None]) / step[:, None] + dither), 0, 15).astype(np.uint8)
+    levels = np.concatenate([levels, np.zeros((n, dim % 2), np.uint8)], axis=1)
+    numbers = np.stack([factor, low, step], axis=1).astype("<f4")
+    return np.concatenate([np.packbits(turned >= 0, axis=1), levels[:, ::2] << 4 | levels[:, 1::2], numbers.view(np.uint8)], axis=1)
+
+
+def unpacked_codes(raw: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes (+-1/sqrt(D)), four-bit components, factors and steps."""
+    at, to = -(-dim // 8), -(-dim // 8) + -(-dim // 2)
+    x = (np.unpackbits(raw[:, :at], axis=1)[:, :dim].astype(np.float32) * 2 - 1) / np.float32(math.sqrt(dim))
+    numbers = np.ascontiguousarray(raw[:, to:]).view("<f4")
+    levels = np.stack([raw[:, at:to] >> 4, raw[:, at:to] & 15], axis=2).reshape(len(raw), -1)[:, :dim]
+    return x, levels * numbers[:, 2:] + numbers[:, 1:2], numbers[:, 0], numbers[:, 2]
+
+
+def undecided(a: tuple, b: tuple, dim: int, threshold: float, sigmas: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row of a, mask [row of a, row of b]) of the pairs that the bounds don't exclude;
+    a and b as ``unpacked_codes`` gives them."""
+
+    def bound(q: np.ndarray, q_step: np.ndarray, x: np.ndarray, f: np.ndarray) -> np.ndarray:
+        spread = np.maximum(0, 1 - f * f) / max(1, dim - 1)
+        return (q @ x.T + sigmas * np.sqrt(spread[None, :] + (q_step * q_step / 4)[:, None]).astype(np.float32)) / f[None, :]
+
+    (x1, q1, f1, s1), (x2, q2, f2, s2) = a, b
+    for low in range(0, len(x1), 512):
+        rows = slice(low, low + 512)
+        can = bound(q1[rows], s1[rows], x2, f2) >= threshold - 1e-4
+        can &= bound(q2, s2, x1[rows], f1[rows]).T >= threshold - 1e-4
+        yield low, can
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64).reshape(len(column), dim)
+    """Of rows of one length, without nulls."""
+    return column.flatten().to_numpy().astype(np.float64).reshape(len(column), dim)
 
 
 def _bucket_keys(v: np.ndarray, planes: np.ndarray, bits: int, tables: int) -> np.ndarray:
@@ -69,15 +122,88 @@ def _bucket_keys(v: np.ndarray, planes: np.ndarray, bits: int, tables: int) -> n
     return (signs * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2)
 
 
-def _keyed(dim: int, bits: int, tables: int):
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """By powers of two, which rounds nothing: squares of very large and very small components
+    neither overflow nor vanish."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    v = _scaled(v)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _coded(bits: int, tables: int):
+    """Rows (id, dim, v)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = rotations(dim, bits, tables)
         for whole in batches:
             for start in range(0, whole.num_rows, 2000):
-                b = whole.slice(start, 2000)
-                keys = _bucket_keys(_matrix(b.column(1), dim), planes, bits, tables) + (np.arange(tables, dtype=np.int64) << 32)
-                rows = np.repeat(np.arange(b.num_rows), tables)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), b.column(0).take(pa.array(rows))], names=["bucket", "id"])
+                part = whole.slice(start, 2000)
+                dims = part.column(1).to_numpy()
+                for dim in np.unique(dims).tolist():
+                    b = part.filter(pa.array(dims == dim))
+                    v = _unit(_matrix(b.column(2), dim))
+                    keys = _bucket_keys(v, rotations(dim, bits, tables), bits, tables) + (np.arange(tables, dtype=np.int64) << 32)
+                    raw = packed_codes(v, rotation_of(dim))
+                    code = pa.FixedSizeBinaryArray.from_buffers(pa.binary(raw.shape[1]), len(raw), [None, pa.py_buffer(np.ascontiguousarray(raw))]).cast(pa.binary())
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables, dtype=np.int32)), pa.array(keys.reshape(-1)))
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), code, lists], names=["id", "dim", "code", "buckets"])
+
+    return run
+
+
+def _groups(batches: Iterator[pa.RecordBatch], value) -> Iterator[tuple[tuple, int, tuple]]:
+    """Rows (dim, bucket, low, high, side, id, ...) sorted by the first five, as ((dim, bucket,
+    low, high), side, (ids, what value makes of the other columns, which is a tuple of arrays))."""
+    key, held = None, []
+    for b in batches:
+        keys = np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(5)])
+        cut = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cut, cut[1:]):
+            if hi == lo:
+                continue
+            k = tuple(keys[:, lo].tolist())
+            if k != key and held:
+                yield key[:4], key[4], tuple(np.concatenate(x) for x in zip(*held))
+                held = []
+            key = k
+            held.append((b.column(5).slice(lo, hi - lo).to_numpy(), *value(b.slice(lo, hi - lo), k[0])))
+    if held:
+        yield key[:4], key[4], tuple(np.concatenate(x) for x in zip(*held))
+
+
+def _met(batches: Iterator[pa.RecordBatch], value) -> Iterator[tuple[tuple, tuple, tuple, bool]]:
+    """((dim, bucket, low, high), one block, another one or itself, whether it is itself)."""
+    first = None
+    for where, side, group in _groups(batches, value):
+        if side == 2:
+            yield where, group, group, True
+        elif side == 0:
+            first = (where, group)
+        elif first and first[0] == where:
+            yield where, first[1], group, False
+
+
+def _open(threshold: float, sigmas: float):
+    """Rows (dim, bucket, low, high, side, id, code); gives those with an undecided pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw = lambda b, dim: (np.frombuffer(b"".join(b.column(6).to_pylist()), np.uint8).reshape(b.num_rows, -1),)
+        for (dim, bucket, low, high), (ids1, r1), (ids2, r2), same in _met(batches, raw):
+            if same and len(ids1) < 2:
+                continue
+            a = unpacked_codes(r1, dim)
+            b = a if same else unpacked_codes(r2, dim)
+            left, right = np.zeros(len(ids1), bool), np.zeros(len(ids2), bool)
+            for start, can in undecided(a, b, dim, threshold, sigmas):
+                if same:
+                    can[np.arange(len(can)), np.arange(start, start + len(can))] = False
+                left[start : start + len(can)] |= can.any(axis=1)
+                right |= can.any(axis=0)
+            for side, ids in ([(2, ids1[left | right])] if same else [(0, ids1[left]), (1, ids2[right])]):
+                if n := len(ids):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, dim, np.int32)), *(pa.array(np.full(n, x, np.int64)) for x in (bucket, low, high)), pa.array(np.full(n, side, np.int32)), pa.array(ids)], names=["dim", "bucket", "low", "high", "side", "id"])
 
     return run
 
@@ -95,25 +221,20 @@ def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
-def _bucket_links(dim: int, bits: int, tables: int, threshold: float, sigmas: float):
-    """Rows (bucket, low, high, side, id, v, weight), sorted by the first four: two blocks of a
-    bucket (sides 0 and 1), or one that is compared with itself (side 2). Out: for each vector
-    with a link its linked weight and the smallest id reachable by the links found here."""
-    planes = rotations(dim, bits, tables)
-    rotation = np.linalg.qr(np.random.default_rng(SEED).standard_normal((dim, dim)))[0]
+def _bucket_links(bits: int, tables: int, threshold: float, sigmas: float):
+    """Rows (dim, bucket, low, high, side, id, v, weight), sorted by the first five: two blocks
+    of a bucket (sides 0 and 1), or one that is compared with itself (side 2). Out: for each
+    vector with a link its linked weight and the smallest id reachable by the links found here."""
 
-    def compare(t: int, a: tuple, b: tuple, same: bool):
+    def compare(dim: int, t: int, a: tuple, b: tuple, same: bool):
         ids1, v1, w1 = a
         ids2, v2, w2 = b
-        k1, k2 = _bucket_keys(v1, planes, bits, tables)[:, :t], _bucket_keys(v2, planes, bits, tables)[:, :t]
-        u1, u2 = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (v1, v2))
-        t1, x1, f1 = code_of(u1, rotation)
-        t2, x2, f2 = code_of(u2, rotation)
-        e1, e2 = (sigmas * np.sqrt(np.maximum(0, 1 - f * f) / (f * f) / max(1, dim - 1)) for f in (f1, f2))
+        planes, rotation = rotations(dim, bits, tables), rotation_of(dim)
+        u1, u2 = _unit(v1), _unit(v2)
+        k1, k2 = _bucket_keys(u1, planes, bits, tables)[:, :t], _bucket_keys(u2, planes, bits, tables)[:, :t]
+        c1, c2 = unpacked_codes(packed_codes(u1, rotation), dim), unpacked_codes(packed_codes(u2, rotation), dim)
         out = []
-        for low in range(0, len(ids1), 512):
-            rows = slice(low, low + 512)
-            can = (estimates(t1[rows], x2, f2) + e2[None, :].astype(np.float32) >= threshold) & (estimates(t2, x1[rows], f1[rows]).T + e1[rows][:, None].astype(np.float32) >= threshold)
+        for low, can in undecided(c1, c2, dim, threshold, sigmas):
             i, j = np.nonzero(can)
             i += low
             if same:
@@ -132,37 +253,9 @@ def _bucket_links(dim: int, bits: int, tables: int, threshold: float, sigmas: fl
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for b in batches:
-                key = np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(4)])
-                ids, w, v = b.column(4).to_numpy(), b.column(6).to_numpy(), _matrix(b.column(5), dim)
-                cut = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), len(ids)]
-                for lo, hi in zip(cut, cut[1:]):
-                    if hi > lo:
-                        yield (tuple(key[:3, lo].tolist()), int(key[3, lo])), (ids[lo:hi], v[lo:hi], w[lo:hi])
-
-        def groups():
-            key, held = None, []
-            for k, part in rows():
-                if k != key and held:
-                    yield key, tuple(np.concatenate(x) for x in zip(*held))
-                    held = []
-                key = k
-                held.append(part)
-            if held:
-                yield key, tuple(np.concatenate(x) for x in zip(*held))
-
-        first = None
-        for (bucket, side), group in groups():
-            t = bucket[0] >> 32
-            if side == 2:
-                found = compare(t, group, group, True)
-            elif side == 0:
-                first = (bucket, group)
-                continue
-            else:
-                found = compare(t, first[1], group, False) if first and first[0] == bucket else []
-            if found:
+        value = lambda b, dim: (_scaled(_matrix(b.column(6), dim)), b.column(7).to_numpy())
+        for (dim, bucket, _, _), a, b, same in _met(batches, value):
+            if found := compare(dim, bucket >> 32, a, b, same):
                 who, weight, other = (np.concatenate(x) for x in zip(*found))
                 order = np.argsort(who, kind="stable")
                 who, weight, other = who[order], weight[order], other[order]
@@ -178,11 +271,11 @@ def _bucket_links(dim: int, bits: int, tables: int, threshold: float, sigmas: fl
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", miss: float = 1e-6, sigmas: float = 6.0, block: int = 4096) -> DataFrame:
     """id, n_links, component_id, kept for each row.
 
-    n_links: other rows with a cosine of at least the threshold. component_id: the smallest
-    id reachable by links. A vector that is null, zero, or holds a null or non-finite
-    component, or whose length isn't that of the most vectors, links with nothing: it is
-    its own component. Repeated ids are rows of their own. Integer ids; a null id never is
-    the smallest. An empty table gives no rows; other columns are ignored.
+    n_links: other rows with a cosine of at least the threshold (a tie links). component_id:
+    the smallest id reachable by links. A vector that is null, zero, or holds a null or
+    non-finite component links with nothing: it is its own component. Vectors of different
+    lengths don't link with each other. Repeated ids are rows of their own. Integer ids; a
+    null id never is the smallest. An empty table gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -190,26 +283,24 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
-    sizes = sorted(((r["count"], r["n"]) for r in rows.where("fine").groupBy(F.size("v").alias("n")).count().collect()), reverse=True)
-    if not sizes:
-        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = sizes[0][1]
     # 0.0 and -0.0 are one value in a key
-    rows = written(rows.withColumn("fine", F.col("fine") & (F.size("v") == dim)).withColumn("vkey", F.when(F.col("fine"), F.sha2(F.to_json(F.transform("v", lambda x: x + F.lit(0.0))), 256))), "vectors")
+    rows = written(rows.withColumn("vkey", F.when(F.col("fine"), F.sha2(F.to_json(F.transform("v", lambda x: x + F.lit(0.0))), 256))), "vectors")
     good = rows.where("fine")
     distinct = written(good.groupBy("vkey").agg(F.min("id").alias("least"), F.count("*").alias("weight"), F.first("v").alias("v")).withColumn("node", F.xxhash64("vkey")), "distinct")
     n = distinct.count()
     bits, tables = plan(n, threshold, miss)
-    parts = shuffle_partitions(spark)
-    keyed = written(distinct.select(F.col("node").alias("id"), "v").repartition(parts, "id").mapInArrow(_keyed(dim, bits, tables), "bucket long, id long"), "buckets")
-    blocks = keyed.groupBy("bucket").agg(F.ceil(F.count("*") / block).alias("nb"), F.count("*").alias("n")).where("n > 1").select("bucket", "nb")
-    dealt = keyed.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), F.col("nb")))
+    parts = max(shuffle_partitions(spark), n * tables // 2_000_000)
+    codes = written(distinct.select(F.col("node").alias("id"), F.size("v").alias("dim"), "v").mapInArrow(_coded(bits, tables), "id long, dim int, code binary, buckets array<long>"), "codes")
+    keyed = codes.select("dim", F.explode("buckets").alias("bucket"), "id", "code")
+    large = written(keyed.groupBy("dim", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > block).select("dim", "bucket", F.ceil(F.col("n") / block).alias("nb")), "large-buckets")
+    dealt = keyed.join(large, ["dim", "bucket"], "left").withColumn("nb", F.coalesce("nb", F.lit(1).cast("long"))).withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), F.col("nb")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))
-    dealt = dealt.select("bucket", "id", "own", other.alias("other")).select(
-        "bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("int").alias("side"), "id",
-    )
-    with_v = dealt.join(distinct.select(F.col("node").alias("id"), "v", "weight"), "id").select("bucket", "low", "high", "side", "id", "v", "weight")
-    found = written(with_v.repartition(parts, "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "side", "id").mapInArrow(_bucket_links(dim, bits, tables, threshold, sigmas), "id long, linked long, least long"), "bucket-links")
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("int").alias("side")
+    dealt = dealt.select("dim", "bucket", "id", "code", "own", other.alias("other")).select("dim", "bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), side, "id", "code")
+    pair, order = ("dim", "bucket", "low", "high"), ("dim", "bucket", "low", "high", "side", "id")
+    open_ = written(dealt.repartition(parts, *pair).sortWithinPartitions(*order).mapInArrow(_open(threshold, sigmas), "dim int, bucket long, low long, high long, side int, id long"), "undecided")
+    with_v = open_.join(distinct.select(F.col("node").alias("id"), "v", "weight"), "id").select(*order, "v", "weight")
+    found = written(with_v.repartition(parts, *pair).sortWithinPartitions(*order).mapInArrow(_bucket_links(bits, tables, threshold, sigmas), "id long, linked long, least long"), "bucket-links")
     totals = found.groupBy("id").agg(F.sum("linked").alias("linked"))
     labels = connected_components(found.select("id", "least"), "id", "least")
     out = distinct.join(totals.withColumnRenamed("id", "node"), "node", "left").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
