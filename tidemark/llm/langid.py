@@ -31,23 +31,32 @@ def folded(text: str | None) -> str:
     return NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
 
 
-def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", docs_per_label: int = 400, chars_per_doc: int = 1024, dict_bytes: int = 200_000) -> dict[str, bytes]:
-    """A dictionary for each label. The sample is bounded: docs_per_label documents for each
-    label, those with the smallest hash of their id and text; of each the middle
-    chars_per_doc folded characters. Null labels and texts teach nothing."""
-    named = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).alias("label"), F.pmod(F.xxhash64(F.lit("sample"), id_col), F.lit(1 << 30)).alias("h"), F.col(text_col).alias("text"))
-    counts = {r["label"]: r["count"] for r in named.groupBy("label").count().collect()}
+def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", docs_per_label: int = 400, whole_chars: int = 4096) -> dict[str, bytes]:
+    """A dictionary for each label: its sample of folded whole texts, nothing cut.
+
+    The sample is bounded in rows: docs_per_label different texts for each label, those with
+    the smallest hash of their text. Texts of more than whole_chars characters are only
+    taken where a label has too few others, so a dictionary has docs_per_label *
+    whole_chars characters at most unless longer texts are all there is. Null labels and
+    texts teach nothing.
+    """
+    named = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).alias("label"), F.pmod(F.xxhash64(F.lit("sample"), text_col), F.lit(1 << 30)).alias("h"), F.col(text_col).alias("text"))
+    named = named.withColumn("long", F.length("text") > whole_chars)
+    counts = {(r["label"], r["long"]): (r["n"], r["texts"]) for r in named.groupBy("label", "long").agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("text")).alias("texts")).collect()}
     if not counts:
         return {}
-    below = F.create_map(*[x for label, n in counts.items() for x in (F.lit(label), F.lit(int(min(1.0, (3 * docs_per_label + 100) / n) * (1 << 30))))])
-    rank = Window.partitionBy("label").orderBy("h", "text")
-    rows = named.where(F.col("h") < below[F.col("label")]).withColumn("k", F.row_number().over(rank)).where(F.col("k") <= docs_per_label)
-    half = chars_per_doc
-    picked = rows.select("label", "k", F.substring("text", F.greatest(F.lit(1), (F.length("text") / 2).cast("int") - half).cast("int"), F.lit(2 * half)).alias("text")).collect()
+    learned = {label: sum(n for (other, _), (n, _) in counts.items() if other == label) for label, _ in counts}
+    # a hash below this keeps three times as many texts as are needed
+    share = {key: int(min(1.0, (3 * docs_per_label + 100) / max(1, texts)) * (1 << 30)) for key, (_, texts) in counts.items() if not key[1] or counts.get((key[0], False), (0, 0))[1] < 2 * docs_per_label}
+    below = F.lit(0)
+    for (label, long), h in share.items():  # two for each language
+        below = F.when((F.col("label") == label) & (F.col("long") == long), h).otherwise(below)
+    few = named.where(F.col("h") < below).distinct()
+    rank = Window.partitionBy("label").orderBy("long", "h", "text")
+    picked = few.withColumn("k", F.row_number().over(rank)).where(F.col("k") <= docs_per_label).select("label", "k", "text").collect()
     out: dict[str, bytes] = {}
-    for label in sorted(counts, key=lambda x: (-counts[x], x)):
-        parts = [folded(r["text"]) for r in sorted((r for r in picked if r["label"] == label), key=lambda r: -r["k"])]
-        out[label] = " ".join(p[max(0, (len(p) - chars_per_doc) // 2) :][:chars_per_doc] for p in parts).encode()[-dict_bytes:]
+    for label in sorted(learned, key=lambda x: (-learned[x], x)):
+        out[label] = " ".join(folded(r["text"]) for r in sorted((r for r in picked if r["label"] == label), key=lambda r: -r["k"])).encode()
     return out
 
 
@@ -109,11 +118,11 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
     lang_pred is the language with the smallest size (ties: the one with more labelled texts), `und` with score
     0 for a text that is null or has no letter, or where no language was learned. Texts
     whose smallest two sizes are within one byte or 1 % are rejected: confident is false,
-    lang_pred still the smallest. Nothing but the text is read; repeated rows are kept; an
-    empty table gives no rows.
+    lang_pred still the smallest. Nothing but the text is read, whole and of any length;
+    repeated rows are kept; an empty table gives no rows; other columns are ignored.
     """
     ship(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(dictionaries)  # dict_bytes for each language
+    held = docs.sparkSession.sparkContext.broadcast(dictionaries)  # see train for their size
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_predict(held, uuid.uuid4().hex), f"id {kind}, lang_pred string, score double, confident boolean").withColumnRenamed("id", id_col)
 
