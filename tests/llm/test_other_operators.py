@@ -42,6 +42,34 @@ def test_differencing_against_the_greedy_rule(blocks, giant):
     assert sum(sums) == sum(sizes) and max(sums) <= 1.01 * max(greedy)
 
 
+def test_differencing_against_a_plain_version():
+    """All partial partitions as lists, the two of the largest spread combined, over and over."""
+    rng = random.Random(12)
+    for _ in range(60):
+        k, sizes = rng.choice([2, 3, 5]), sorted((rng.randint(1, 10**6) for _ in range(rng.randint(1, 14))), reverse=True)
+        partials = [[s] + [0] * (k - 1) for s in sizes]
+        while len(partials) > 1:
+            partials.sort(key=lambda x: max(x) - min(x), reverse=True)
+            a, b = sorted(partials.pop(0), reverse=True), sorted(partials.pop(0))
+            partials.append([x + y for x, y in zip(a, b)])
+        where, sums = sharding.difference([[s] for s in sizes], k)
+        loads = [0] * k
+        for s, j in zip(sizes, where[:, 0].tolist()):
+            loads[j] += s
+        assert sorted(loads) == sorted(sums) == sorted(partials[0])
+
+
+def test_shards_by_three_levels(spark):
+    """Blocks of few groups, so that bundles are bundled again; sizes stay nearly equal."""
+    rng = random.Random(5)
+    texts = ["x" * rng.randint(1, 400) + str(i) for i in range(2000)] + ["same"] * 50
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = sharding.balanced_shards(docs, 3, block_groups=12, least_blocks=20).collect()
+    loads = [sum(r["size"] for r in out if r.shard == j) for j in range(3)]
+    assert len(out) == len(texts) and max(loads) - min(loads) <= 450 and len({r.shard for r in out if texts[r.doc_id] == "same"}) == 1
+    assert sorted(r.doc_id for r in out) == list(range(len(texts)))
+
+
 def test_shards(spark, sf_dir, odd, none):
     docs = table(spark, sf_dir, "documents")
     got = sharding.op7_sharding(spark, sf_dir).collect()

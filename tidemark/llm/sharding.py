@@ -5,12 +5,13 @@ partition with all its bytes in one of the k subsets; the two partials with the
 largest spread (largest minus smallest subset) are combined over and over, the
 heaviest subset of one with the lightest of the other, until one is left.
 
-The differencing is done in two levels so that no task holds all groups. Groups of more
-than a thousandth of a shard go to the last level as they are (there can't be more than
-1,000 for each shard). The small ones are dealt to blocks, at least 1,000, each differenced
-in one task into k bundles of equal bytes. Large groups and bundles are then differenced on
-the driver, each as one number: at most 2,000 for each shard, and beyond that one for each
-``block_groups`` / k groups.
+The differencing is done in levels so that no task holds all groups. Groups of more than a
+thousandth of a shard go to the last level as they are (there can't be more than 1,000 for
+each shard). The small ones are dealt to blocks of about ``block_groups``, at least 1,000
+blocks, each differenced in one task into k bundles of equal bytes. While that leaves more
+than 1,000 blocks' bundles, these are dealt to blocks and differenced in turn. Large groups
+and the last bundles are then differenced on the driver, each as one number: at most 2,000
+for each shard, however many rows there are.
 """
 
 from __future__ import annotations
@@ -92,7 +93,7 @@ def _difference_blocks(k: int):
     return run
 
 
-def balanced_shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", block_groups: int = 250_000) -> DataFrame:
+def balanced_shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", block_groups: int = 250_000, least_blocks: int = LARGE) -> DataFrame:
     """One row for each row of docs: id, size, text_crc32, shard, slot.
 
     size: UTF-8 bytes of the text plus 1 (a null text counts as no bytes; its rows are
@@ -100,8 +101,9 @@ def balanced_shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id",
     group larger than rows/n_shards makes its shard that large. slot counts from 0
     within a shard without gaps, in no meaningful order; equal rows are kept, each with
     its own slot. Null ids are kept. An empty table gives no rows. Other columns of
-    docs are ignored. Groups are told apart by a 64-bit hash: two texts that collide
-    would share a shard, nothing else.
+    docs are ignored, and a text of any length is only measured. Groups of equal size are
+    taken in the order of their hashes. Groups are told apart by a 64-bit hash: two texts
+    that collide would share a shard, nothing else.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -118,19 +120,28 @@ def balanced_shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id",
     )
     groups = written(slim.groupBy("gkey").agg(F.sum("size").alias("gsize")), "shard-groups")
     n_groups, n_rows = groups.count(), slim.count()
-    n_blocks = max(LARGE, math.ceil(n_groups / block_groups))
+    block_groups = max(block_groups, 4 * n_shards)  # a level must leave fewer numbers than it takes
     limit = (groups.agg(F.sum("gsize")).first()[0] or 0) // (n_shards * LARGE)
     large = [(r["gkey"], r["gsize"]) for r in groups.where(F.col("gsize") > limit).collect()]  # n_shards * LARGE at most
-    small = groups.where(F.col("gsize") <= limit).select(F.pmod(F.xxhash64("gkey"), F.lit(n_blocks)).alias("block"), "gkey", "gsize")
-    parts = max(shuffle_partitions(spark), n_groups // 1_000_000)
-    bundled = written(small.repartition(parts, "block").mapInArrow(_difference_blocks(n_shards), "gkey long, gsize long, bundle long"), "shard-bundles")
-    bundles = [tuple(r) for r in bundled.groupBy("bundle").agg(F.sum("gsize")).collect()]  # n_shards * n_blocks at most
+    level, count, levels = groups.where(F.col("gsize") <= limit), n_groups, []
+    while True:
+        n_blocks = max(least_blocks, math.ceil(count / block_groups))
+        dealt = level.select(F.pmod(F.xxhash64("gkey"), F.lit(n_blocks)).alias("block"), "gkey", "gsize")
+        parts = max(shuffle_partitions(spark), count // 1_000_000)
+        levels.append(written(dealt.repartition(parts, "block").mapInArrow(_difference_blocks(n_shards), "gkey long, gsize long, bundle long"), "shard-bundles"))
+        level = levels[-1].groupBy(F.col("bundle").alias("gkey")).agg(F.sum("gsize").alias("gsize"))
+        if n_blocks <= least_blocks:
+            break
+        count = n_blocks * n_shards
+    bundles = [tuple(r) for r in level.collect()]  # n_shards * least_blocks at most
     items = sorted([(-n, 0, key) for key, n in large] + [(-n, 1, bundle) for bundle, n in bundles])
     where, _ = difference([[-n] for n, _, _ in items], n_shards)
     found = [(kind, key, int(where[i, 0])) for i, (_, kind, key) in enumerate(items)]
     direct = spark.createDataFrame([(key, shard) for kind, key, shard in found if kind == 0], "gkey long, shard int")
-    of_bundle = spark.createDataFrame([(key, shard) for kind, key, shard in found if kind == 1], "bundle long, shard int")
-    shard_of = bundled.join(of_bundle, "bundle").select("gkey", "shard").union(direct)
+    shard_of = spark.createDataFrame([(key, shard) for kind, key, shard in found if kind == 1], "gkey long, shard int")
+    for bundled in reversed(levels):
+        shard_of = bundled.select("gkey", "bundle").join(shard_of.withColumnRenamed("gkey", "bundle"), "bundle").select("gkey", "shard")
+    shard_of = shard_of.union(direct)
 
     n_buckets = max(math.ceil(n_rows / (n_shards * 50_000)), math.ceil(shuffle_partitions(spark) / n_shards))
     dealt = written(slim.join(shard_of, "gkey").withColumn("bucket", F.pmod(F.xxhash64("id", "size"), F.lit(n_buckets)).cast("int")), "shard-dealt")
