@@ -332,8 +332,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     removed runs, in bytes) for each row.
 
     A byte is removed where a string of 200 bytes covers it that also starts anywhere else,
-    in another row or the same. A null text counts as empty; repeated rows are copies of
-    each other. An empty table gives no rows; other columns are ignored.
+    in another row or the same. A null text counts as empty and texts of under 200 bytes
+    lose nothing; repeated rows are copies of each other, and where all copies repeat none
+    is kept. Null ids are kept. An empty table gives no rows; other columns are ignored,
+    whatever their names. A text of n bytes is handled in one task's memory, where its
+    ranges take about 100 n bytes: texts of some 30 MB need larger executors.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -343,12 +346,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = written(slim.where(F.col("n_bytes") >= LENGTH).groupBy("sha").agg(F.first("text").alias("text"), F.count("*").alias("n")).select("sha", "text", "n", F.monotonically_increasing_id().alias("uid")), "texts")
     keys = written(texts.select("uid", "text").mapInArrow(_range_rows, "key long, uid long, place long"), "ranges")
     release(spark)
-    twice = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    found = keys.join(twice, "key").groupBy("uid").agg(F.collect_list(F.struct("key", "place")).alias("f"))
+    twice = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
+    # keys of more than 1/5,000 of the ranges are 5,000 at most: their rows stay where they are
+    hot = F.broadcast(twice.where(F.col("n") > max(10_000, keys.count() // 5000)).select("key"))
+    again = keys.join(hot, "key").union(keys.join(hot, "key", "left_anti").join(twice.select("key"), "key"))
+    found = again.groupBy("uid").agg(F.collect_list(F.struct("key", "place")).alias("f"))
     found = found.join(texts.select("uid", "text"), "uid").select("uid", "text", F.col("f.key").alias("keys"), F.col("f.place").alias("places"))
     contexts = written(found.mapInArrow(_contexts, "h binary, key long, uid long, place long, bytes binary"), "contexts")
     forget(keys)
-    del keys, twice, found
+    del keys, twice, hot, again, found
     release(spark)
     level, sorted_, below = contexts.select("h", "key", "bytes", "place"), None, []
     for width in (8, 1, None):
