@@ -6,7 +6,9 @@ characters but blanks and quotes, and elsewhere runs of 16 or more characters of
 found in whole texts. A forest trained from labelled findings removes the
 false positives (words, digests, ids, paths, placeholders) by the candidate's length and
 character transitions, its dictionary coverage, the document's path and the neighbouring
-words. The dictionary is the table of letter trigrams counted over all documents.
+words. The dictionary is the table of letter trigrams counted over all documents. What the
+parts of a path and the words beside a candidate say is learned from the findings: each has
+the log odds of the findings it stands at.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import math
 import random
 import re
 import string
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,13 +34,12 @@ LEAST, MOST = 16, 512
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.\-]{%d,}" % LEAST)
 REDACTED = "[SECRET]"
 SECRET_WORDS = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "key", "auth", "bearer", "credential", "private", "access")
-OTHER_WORDS = ("sha", "md5", "commit", "checksum", "digest", "hash", "uuid", "guid", "id", "version", "rev", "etag", "http", "https", "src", "href", "img", "file", "example", "placeholder")
 #: a secret's name, = or :, and the value, which ends at its quote or at a blank
 NAMED = re.compile(r"""(?i)(?:%s)[a-z0-9_.\-]{0,40}["'`]?[ \t]{0,8}(?::=|=>|[=:])[ \t]{0,8}(?:(?:bearer|basic)[ \t]+)?(?:"([^"\s]+)"|'([^'\s]+)'|`([^`\s]+)`|["'`]?([^\s"'`<>,;]+))""" % "|".join(SECRET_WORDS))
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*=(?=[^=])")
 #: characters of context on each side
 AROUND = 48
-FEATURES = 20
+FEATURES = 22
 
 
 # ---- the dictionary: letter trigrams of all documents
@@ -83,7 +85,44 @@ def _kind(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
 
-def describe(value: str, before: str, after: str, path: str, trigrams: np.ndarray) -> list[float]:
+PART = re.compile(r"[^\W_]+")
+#: log odds are kept for this many hashed words
+BUCKETS = 1 << 14
+FOLDS = 5
+
+
+def neighbours(before: str, after: str, path: str) -> list[list[int]]:
+    """Buckets of the words to the left (the nearest three, in their parts), to the right (two)
+    and of the path's parts."""
+    left = [p for w in before.lower().split()[-4:] for p in PART.findall(w)][-3:]
+    right = PART.findall(after.lower())[:2]
+    return [[zlib.crc32(f"{side} {w}".encode()) % BUCKETS for w in dict.fromkeys(words)] for side, words in (("left", left), ("right", right), ("path", PART.findall(path.lower())))]
+
+
+class Context:
+    """Findings of each label by bucket."""
+
+    def __init__(self, findings: list):
+        self.counts = np.zeros((2, BUCKETS))
+        for _, before, after, path, label in findings:
+            for side in neighbours(before, after, path):
+                self.counts[label, side] += 1
+        total = self.counts.sum(axis=1)
+        self.prior = math.log((total[1] + 1) / (total[0] + 1))
+
+    def odds(self, before: str, after: str, path: str) -> list[float]:
+        """For each side the sum of the words' log odds, and the largest for the left one."""
+        sums, most = [], 0.0
+        for k, side in enumerate(neighbours(before, after, path)):
+            yes, no = self.counts[1, side], self.counts[0, side]
+            logs = np.log((yes + 0.5) / (no + 0.5)) - self.prior * ((yes + no) > 0)
+            sums.append(float(logs.sum()))
+            if k == 0 and len(logs):
+                most = float(logs.max())
+        return [*sums, most]
+
+
+def describe(value: str, before: str, after: str, path: str, trigrams: np.ndarray, context: Context) -> list[float]:
     n = len(value)
     kinds = [_kind(c) for c in value]
     share = [kinds.count(k) / n for k in range(4)]
@@ -93,16 +132,13 @@ def describe(value: str, before: str, after: str, path: str, trigrams: np.ndarra
     x = _LETTER[raw]
     whole = (x[:-2] > 0) & (x[1:-1] > 0) & (x[2:] > 0)
     logs = trigrams[(x[:-2] << 10) + (x[1:-1] << 5) + x[2:]][whole]
-    left = re.findall(r"[a-z_0-9]+", before.lower())[-3:]
-    right = re.findall(r"[a-z_0-9]+", after.lower())[:2]
-    names = " ".join(left)
+    odds = context.odds(before, after, path)
     tail = before.rstrip(" \"'`")[-1:]
     return [
         min(n, 128), *share[:3], sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, n - 1), float(-(p * np.log2(p)).sum()), len(set(value)) / n,
         float((logs > math.log(1 / TRIGRAMS)).sum()) / max(1, n - 2), float(logs.mean()) if len(logs) else -20.0,  # dictionary coverage
         max(len(w) for w in re.findall(r"[A-Za-z]*", value)) / n, float(re.fullmatch(r"[0-9a-fA-F]+", value) is not None), value.count("-") / n, (value.count("/") + value.count(".")) / n,
-        float(any(w in names for w in SECRET_WORDS)), float(any(w in left for w in OTHER_WORDS)), float(tail in ("=", ":")), float(before[-1:] in "\"'`" and before != ""), float(after[:1] in "\"'`" and after != ""),
-        float(re.search(r"test|example|sample|doc|mock|fixture", path.lower()) is not None), float(any(w in right for w in OTHER_WORDS)),
+        float(tail in ("=", ":")), float(before[-1:] in "\"'`" and before != ""), float(after[:1] in "\"'`" and after != ""), float(value[:1] in "$%{<" and len(set(value)) < n), float(len(set(value.lower())) <= 4), *odds,
     ]
 
 
@@ -271,23 +307,29 @@ class Forest:
 @dataclass
 class Scanner:
     trigrams: np.ndarray
+    context: Context
     forest: Forest
     threshold: float
 
     def scan(self, texts: list[str | None], paths: list[str | None]) -> list[list[tuple[int, int, float]]]:
         """(start, end, score) of all candidates of each text, in order."""
         spans = [list(candidates(t)) if t else [] for t in texts]
-        rows = [describe(t[a:b], t[max(0, a - AROUND) : a], t[b : b + AROUND], p or "", self.trigrams) for t, p, found in zip(texts, paths, spans) for a, b in found]
+        rows = [describe(t[a:b], t[max(0, a - AROUND) : a], t[b : b + AROUND], p or "", self.trigrams, self.context) for t, p, found in zip(texts, paths, spans) for a, b in found]
         scores = iter(self.forest.predict(np.array(rows)).tolist() if rows else [])
         return [[(a, b, next(scores)) for a, b in found] for found in spans]
 
 
 def train(docs: DataFrame, text_col: str = "text", findings: list | None = None, threshold: float = 0.5) -> Scanner:
     """findings: (value, before, after, path, label) rows; the fixed ones where none are given."""
-    trigrams = dictionary(docs, text_col)
-    findings = findings or labelled_findings()
-    x = np.array([describe(v, b, a, p, trigrams) for v, b, a, p, _ in findings])
-    return Scanner(trigrams, Forest.fit(x, np.array([f[4] for f in findings])), threshold)
+    return learned(dictionary(docs, text_col), findings or labelled_findings(), threshold)
+
+
+def learned(trigrams: np.ndarray, findings: list, threshold: float = 0.5, trees: int = 40) -> Scanner:
+    """A finding is described by the log odds of the other folds' findings, so that its own label
+    has no say in them; the scanner keeps those of all."""
+    apart = [Context([f for i, f in enumerate(findings) if i % FOLDS != k]) for k in range(FOLDS)]
+    x = np.array([describe(v, b, a, p, trigrams, apart[i % FOLDS]) for i, (v, b, a, p, _) in enumerate(findings)])
+    return Scanner(trigrams, Context(findings), Forest.fit(x, np.array([f[4] for f in findings]), trees), threshold)
 
 
 def _find(held, kind: str):
@@ -337,9 +379,9 @@ def _redact(held, text_at: int, path_at: int | None, chars_at: int | None):
 def find(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """A row for each candidate: id, start, end (characters), value_sha256, score, is_secret.
 
-    The value itself is never given out. A null or empty text has no candidates; repeated
-    rows have theirs each; an empty table gives no rows; other columns are ignored. Ties at
-    the threshold count as secrets.
+    The value itself is never given out. A null or empty text has no candidates, one of any
+    length is searched whole; repeated rows have theirs each, null ids too; an empty table
+    gives no rows; other columns are ignored. Ties at the threshold count as secrets.
     """
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(scanner)  # 2**15 numbers and the trees
@@ -349,8 +391,10 @@ def find(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: st
 
 
 def redact(docs: DataFrame, scanner: Scanner, text_col: str = "text", path_col: str | None = "source", chars_col: str | None = "n_chars") -> DataFrame:
-    """docs, all columns and rows, with each secret replaced by [SECRET]; chars_col follows
-    the new length. No shuffle."""
+    """docs, all columns and rows, with each secret that ``find`` reports (a tie at the
+    threshold too) replaced by [SECRET] in texts of any length; chars_col follows the new
+    length, also where it was null. Null and empty texts stay as they are, and a table without
+    a path column is judged without paths. No shuffle."""
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(scanner)
     at = {c: i for i, c in enumerate(docs.columns)}
