@@ -3,6 +3,7 @@ import io
 from tidemark import report
 from tidemark.client import Client, commands
 from tidemark.operators.relational import semi_reduction, hash_join
+from tidemark.sources.modes import Mode, Scans
 from tidemark.sources.tables import table
 
 
@@ -30,6 +31,16 @@ def test_reports(spark, sf_dir):
     assert got["query"]["rows"] == 5 and any("numOutputRows" in m for m in got.values())
 
 
+def test_summary(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    with Scans(Mode.HYBRID, {"orders": ("o_orderkey",)}) as scans:
+        scans.keep("orders", o, ["o_totalprice"])
+        got = report.summary(scans.scan("orders", o, ["o_totalprice"], o.o_totalprice > 250_000), scans)
+        assert got["rows_from_memory"] == o.count() and got["segment_hits"] == 1 and got["hit_rate"] == 1 and 0 < got["bytes_kept"] <= got["bytes_allowed"]
+    got = report.summary(o.where("o_totalprice > 250000").select("o_orderkey"))
+    assert got["rows_read"] == o.count() and got["bytes_read"] > 0 and got["selectivity"] == got["rows"] / o.count()
+
+
 def test_reduction_changes_nothing(spark, sf_dir):
     li, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").where("p_size = 3")
     plain = hash_join(li, part, [("l_partkey", "p_partkey")]).count()

@@ -150,6 +150,18 @@ def test_both_merges_give_the_interpreter_s_table(spark, seed):
         assert rows(D.fresh(stable, deltas, keys, v)) == rows(D.snapshot(stable, deltas, keys, v))
 
 
+def test_kept_visibility(spark):
+    base, log, table = history(3)
+    stable = spark.createDataFrame([(*k, v) for k, v in base.items()], "k long, j long, v long")
+    deltas = spark.createDataFrame(log, "k int, j int, v int, type string, _version long, _seq long")
+    maps = D.KeepMaps(deltas, ["k", "j"], versions=2)
+    for version in (0, 1, 0, None, None, 3):
+        assert rows(maps.fresh(stable, version)) == rows(D.fresh(stable, deltas, ["k", "j"], version))
+    assert (maps.hits, maps.misses, list(maps.kept)) == (2, 4, [None, 3])
+    maps.close()
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
 # ---- caches
 
 def test_policies():

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from tidemark.plans.htap import KEY, changes
 from tidemark.plans.ssb import Generator
-from tidemark.sources.catalog import Catalog, Partition, Table
+from tidemark.sources.catalog import Catalog, Partition, Table, store_options
 from tidemark.sources.changes import LogReader, envelope
 from tidemark.operators.cache_policy import LRU
 from tidemark.operators.delta import fresh
@@ -34,6 +34,19 @@ def test_catalog(tmp_path, spark):
         Catalog.from_json("x", json.dumps(schema))
 
 
+def test_store_options(spark, tmp_path):
+    assert store_options({}) == {}
+    got = store_options({"kind": "compatible", "endpoint": "http://store:9000", "connections": 200})
+    assert got == {"fs.s3a.endpoint": "http://store:9000", "fs.s3a.connection.ssl.enabled": "false", "fs.s3a.path.style.access": "true", "fs.s3a.connection.maximum": "200"}
+    for wrong in ({"kind": "x"}, {"kind": "compatible"}):
+        with pytest.raises(ValueError):
+            store_options(wrong)
+    spark.range(3).select(F.col("id").alias("a")).write.parquet(f"{tmp_path}/t.parquet")
+    schema = {"client": {"region": "here"}, "tables": [{"name": "t", "client": {"endpoint": "https://e"}, "fields": [{"name": "a", "type": "int64"}]}]}
+    t = Catalog.from_json(f"file://{tmp_path}", json.dumps(schema))["t"]
+    assert t.store["fs.s3a.endpoint.region"] == "here" and t.store["fs.s3a.connection.ssl.enabled"] == "true" and t.read(spark).count() == 3
+
+
 def test_pruning():
     zones = {"k": (10, 20), "d": (1, 5)}
     k, d = Column("K"), Column("d")
@@ -204,3 +217,13 @@ def test_windowed_counts(spark, sf_dir):
 def test_generator_repeats_with_its_seed():
     assert Generator(4, 1.0).batch(8, 0.5) == Generator(4, 1.0).batch(8, 0.5)
     assert len(set(Generator(4).batch(30, 0.9))) < 20
+
+
+def test_generator_batches():
+    hot = Generator(4).hot_batch(20, 0.6)
+    assert len(hot) == 20 and hot.count(hot[0]) >= 12 and len(set(hot)) > 4
+    weighted = Generator(4, 2.0).weighted_batch(40)
+    latest = sum("2000" in q for q in weighted)
+    assert abs(len(weighted) - 40) <= 3 and latest > len(weighted) / 2
+    warm, measured = Generator(4).model(0.25, 0.5, 3)
+    assert "SELECT lo_orderkey, lo_linenumber, lo_custkey FROM" in warm and "lo_quantity <= 25" in warm and warm < measured

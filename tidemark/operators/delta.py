@@ -8,6 +8,8 @@ Versions may arrive in any order and more than once.
 
 from __future__ import annotations
 
+from collections import OrderedDict
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +61,43 @@ def keep_map(stable: DataFrame, deltas: DataFrame, keys: list[str], version: int
     return stable.select(*keys).join(hidden, keys, "left").select(*keys, F.col("_hidden").isNull().alias("visible"))
 
 
+class KeepMaps:
+    """The keys that changes hide, kept in memory by version: reads of one version share them.
+
+    At most `versions` are kept; the one used longest ago goes. ``close`` drops all."""
+
+    def __init__(self, deltas: DataFrame, keys: list[str], versions: int = 4):
+        self.deltas, self.keys, self.versions = deltas, keys, versions
+        self.kept: OrderedDict[int | None, DataFrame] = OrderedDict()
+        self.hits = self.misses = 0
+
+    def hidden(self, version: int | None = None) -> DataFrame:
+        if version in self.kept:
+            self.hits += 1
+            self.kept.move_to_end(version)
+            return self.kept[version]
+        self.misses += 1
+        changes = self.deltas if version is None else self.deltas.where(F.col("_version") <= version)
+        self.kept[version] = changes.select(*self.keys).distinct().persist()
+        while len(self.kept) > self.versions:
+            self.kept.popitem(last=False)[1].unpersist()
+        return self.kept[version]
+
+    def visible(self, stable: DataFrame, version: int | None = None) -> DataFrame:
+        """The base rows that no change up to the version hides."""
+        return visible(stable, self.hidden(version), self.keys)
+
+    def fresh(self, stable: DataFrame, version: int | None = None) -> DataFrame:
+        """As the function ``fresh``."""
+        last = latest_changes(conform(self.deltas, stable), self.keys, version)
+        return self.visible(stable, version).unionByName(last.where("type <> 'DELETE'").drop(*META))
+
+    def close(self) -> None:
+        for df in self.kept.values():
+            df.unpersist()
+        self.kept.clear()
+
+
 def route(deltas: DataFrame, column: str, bounds: list[int]) -> DataFrame:
     """Adds the partition whose key range a change falls in; bounds: ascending upper bounds
     (exclusive), the last partition is open."""

@@ -7,6 +7,7 @@ its category's brand. Supply cost is six tenths of the price.
 
 from __future__ import annotations
 
+import datetime
 import random
 
 from tidemark.plans.sqltext import dsum
@@ -70,6 +71,7 @@ class Generator:
 
     YEARS = tuple(range(1995, 2001))
     REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+    COLUMNS = ("lo_orderkey", "lo_linenumber", "lo_custkey", "lo_partkey", "lo_suppkey", "lo_orderdate", "lo_quantity", "lo_extendedprice", "lo_discount")
     TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 
     def __init__(self, seed: int, skew: float = 0.0):
@@ -79,8 +81,8 @@ class Generator:
         n = len(self.YEARS)
         return self.rng.choices(self.YEARS, [1 / (n - k) ** self.skew for k in range(n)])[0]
 
-    def query(self, flight: int | None = None) -> str:
-        rng, y = self.rng, self._year()
+    def query(self, flight: int | None = None, year: int | None = None) -> str:
+        rng, y = self.rng, year or self._year()
         flight = flight or rng.randint(1, 4)
         low = rng.randint(0, 8)
         discount, days = f"lo_discount BETWEEN {low} AND {low + 2}", f"lo_orderdate BETWEEN {y}0101 AND {y}1231"
@@ -103,4 +105,30 @@ class Generator:
         return out
 
 
+    def weighted_batch(self, n: int) -> list[str]:
+        """About n queries in which each year has its share by the skew, rounded, not drawn."""
+        years = self.YEARS[::-1]
+        total = sum(1 / (k + 1) ** self.skew for k in range(len(years)))
+        out = [self.query(year=y) for k, y in enumerate(years) for _ in range(round(n / (k + 1) ** self.skew / total))]
+        self.rng.shuffle(out)
+        return out
+
+    def hot_batch(self, n: int, share: float) -> list[str]:
+        """One query again and again for a share of the batch, then others whose years take turns."""
+        hot = int(n * share)
+        return [self.query()] * hot + [self.query(year=self.YEARS[k % len(self.YEARS)]) for k in range(n - hot)]
+
+    def model(self, hit_ratio: float, row_share: float, n_columns: int) -> tuple[str, str]:
+        """Two queries for a model of caching: the first reads a share (hit_ratio) of the days and
+        warms the cache, the second all of them. Both return the first n_columns of lineorder
+        for about row_share of the rows."""
+        first = datetime.date(self.YEARS[0], 1, 1)
+        days = (datetime.date(self.YEARS[-1] + 1, 1, 1) - first).days
+        until = lambda share: (first + datetime.timedelta(int(days * share))).strftime("%Y%m%d")
+        text = f"SELECT {', '.join(self.COLUMNS[:n_columns])} FROM lineorder WHERE lo_quantity <= {int(50 * row_share)} AND lo_orderdate < "
+        return STAR + text + until(hit_ratio), STAR + text + until(1.0)
+
+
+QUERIES |= dict(zip(("ssb_gen_warm", "ssb_gen_model"), Generator(6).model(0.5, 0.2, 6)))
+QUERIES |= {"ssb_gen_hot": Generator(7).hot_batch(4, 0.5)[0], "ssb_gen_weighted": Generator(8, 1.0).weighted_batch(5)[0]}
 QUERIES |= {f"ssb_gen_{k}": Generator(k, skew).query(flight) for k, flight, skew in ((1, 2, 0.0), (2, 3, 0.0), (3, 4, 0.0), (4, 2, 1.0), (5, 1, 2.0))}

@@ -6,6 +6,8 @@ import time
 
 from pyspark.sql import DataFrame
 
+from tidemark.sources.modes import Scans
+
 
 def plan(df: DataFrame, mode: str = "formatted") -> str:
     """The physical plan as ``explain`` prints it."""
@@ -56,6 +58,21 @@ def metrics(df: DataFrame) -> dict[str, dict[str, int]]:
     return out
 
 
+def summary(df: DataFrame, scans: Scans | None = None) -> dict[str, float]:
+    """Runs df as ``metrics`` does: bytes and rows read by scans, rows that came from memory,
+    bytes shuffled, the share of the read rows that passed the filters right above, and with
+    scans their cache's hits."""
+    found = metrics(df)
+    total = lambda kind, name: sum(m.get(name, 0) for k, m in found.items() if kind in k)
+    read, kept = total("Scan parquet", "numOutputRows") + total("Scan csv", "numOutputRows"), total("InMemoryTableScan", "numOutputRows")
+    filtered = total(" Filter", "numOutputRows")
+    out = {
+        **found["query"], "bytes_read": total("Scan parquet", "filesSize") + total("Scan csv", "filesSize"), "rows_read": read, "rows_from_memory": kept,
+        "bytes_shuffled": total("Exchange", "shuffleBytesWritten"), "selectivity": filtered / (read + kept) if filtered and read + kept else 1.0,
+    }
+    return out | (scans.metrics() if scans else {})
+
+
 def show(df: DataFrame, rows: int = 100) -> str:
     """The first rows as a text table, with types, and the seconds it took."""
     began = time.perf_counter()
