@@ -113,12 +113,13 @@ def test_broken_archives():
     assert not wrong["digest_ok"]
 
 
-def test_round_trip(spark):
+@pytest.mark.parametrize("hot_rows", [1000, 1])
+def test_round_trip(spark, hot_rows):
     big, rows = "<p>" + "é" * 2000, []
     rows = [(5, "u5", big, 1), (3, "u3", big, 1), (9, None, big, 1), (4, "u", "tiny", 1), (2, "u", "tiny", 1), (7, "u", None, 1), (8, "u", "", 1), (None, "u", big, 1), (1, "u", "x" * 99, 1), (6, "u", "x" * 99, 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest int")
     folder = fresh(spark, "warc-test")
-    files = warc.write_archives(pages, folder, roll_bytes=500)
+    files = warc.write_archives(pages, folder, roll_bytes=500, hot_rows=hot_rows)
     assert files.count() > 1
     got = warc.read_archives(files, folder).collect()
     assert len(got) == len(rows) and all(r.digest_ok for r in got)

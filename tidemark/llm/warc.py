@@ -196,7 +196,7 @@ def _read(root: str, payloads: bool):
     return run
 
 
-def write_archives(pages: DataFrame, folder: str, min_bytes: int = 100, roll_bytes: int = 64 << 20) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, min_bytes: int = 100, roll_bytes: int = 64 << 20, hot_rows: int = 1000) -> DataFrame:
     """Writes a record for each row of pages (page_id, url, html; other columns are
     ignored) and returns a row per archive: file, records, bytes.
 
@@ -205,14 +205,22 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 100, roll_byt
     all others revisits that name that page; smaller payloads are always responses. If a
     page_id is repeated with the same payload and is the smallest, each such row is a
     response. A null page_id never is the smallest; a group of nulls only is all
-    responses. An empty table writes no archive.
+    responses. An empty table writes no archive. A payload of any length is one record.
+
+    Payloads of more than hot_rows rows and 1/5,000 of all, 5,000 at most, are told to every
+    task; their pages are then dealt out by themselves, not with their payload.
     """
     spark = pages.sparkSession
     ship(spark)
     html = F.coalesce(F.col("html"), F.lit(""))
     told = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"))
-    firsts = pages.select(F.col("page_id").cast("long").alias("page_id"), html.alias("html")).where(F.octet_length("html") >= min_bytes).select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("digest")).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    rows = told.join(firsts, "digest", "left").select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("first"))
+    firsts = pages.select(F.col("page_id").cast("long").alias("page_id"), html.alias("html")).where(F.octet_length("html") >= min_bytes).select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("digest")).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = written(firsts, "warc-firsts")
+    hot = F.col("n") > max(hot_rows, pages.count() // 5000)
+    told = told.join(F.broadcast(firsts.where(hot).select("digest", F.col("first").alias("hot_first"), F.lit(True).alias("hot"))), "digest", "left")
+    key = F.when(F.col("hot"), F.concat(F.col("digest"), F.lit(":"), F.xxhash64("page_id", "url").cast("string"))).otherwise(F.col("digest"))
+    rows = told.withColumn("key", key).join(firsts.where(~hot).select(F.col("digest").alias("key"), F.col("first").alias("cold_first")), "key", "left")
+    rows = rows.withColumn("first", F.coalesce("hot_first", "cold_first")).select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("first"))
     return written(rows.mapInArrow(_write(folder, roll_bytes), "file string, records long, bytes long"), "warc-manifest")
 
 
