@@ -11,8 +11,9 @@
    drawn at random; a member is compared with its pivot where their components differ.
 5. Where a tile then still holds more than one component, all pairs across components are
    compared: sizes, then hashed bitmaps (parity of the shingles per bit; the differing bits
-   bound the overlap from above), then the exact intersection, at once. A pair is compared
-   in the first tile it shares only, and classes that have come together in a tile aren't
+   bound the overlap from above), and the shingles of the classes with a pair that these
+   leave open follow to the tile for the exact intersection. A pair is compared in the
+   first tile it shares only, and classes that have come together in a tile aren't
    compared any more, so a tile hands on a forest of links: fewer than it has rows.
 
 A tile of very many classes is cut into parts for the pivots and dealt to pairs of blocks
@@ -176,16 +177,16 @@ def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Tile:
-    """Members (skey, n, label, bits, tiles, shingles) of a tile, or of a block of one."""
+    """Members (skey, n, label, bits, tiles and maybe shingles) of a tile, or of a block of one."""
 
     def __init__(self, rows: list[tuple]):
-        ids, n, label, bits, tiles, sets = zip(*rows)
+        ids, n, label, bits, tiles, *sets = zip(*rows)
         self.ids, self.n, self.label = list(ids), np.array(n, np.int64), list(label)
         arrays = [np.frombuffer(x, np.uint64) for x in bits]
         self.width = min(len(x) for x in arrays)
         self.bits = np.stack([fold(x, self.width) for x in arrays])
         self.tiles = np.array(tiles, np.int64)
-        self.sets = [np.frombuffer(x, np.uint64) for x in sets]
+        self.sets = [np.frombuffer(x, np.uint64) for x in sets[0]] if sets else []
 
 
 def _exact(one: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
@@ -196,19 +197,14 @@ def _exact(one: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat(one[at] == every, np.concatenate([[0], np.cumsum([len(s) for s in sets[:-1]], dtype=np.int64)]), dtype=np.int64)
 
 
-def forest(p: _Tile, q: _Tile, band: int) -> list[tuple[bytes, bytes]]:
-    """Links between members of p and of q (the same tile: between its members) of different
-    labels, as many as bring together what is linked. Pairs that share a tile of a lower
-    band are left out: they are compared there."""
-    names = {x: i for i, x in enumerate(dict.fromkeys([*p.label, *q.label]))}
-    root1, root2 = (np.array([names[x] for x in t.label]) for t in (p, q))
-    same, width = p is q, min(p.width, q.width)
-    if same:
-        root2 = root1
+def _open(p: _Tile, q: _Tile, band: int, root1: np.ndarray, root2: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(member i of q, members of p that may link with it) by the roots as they are when i's
+    turn comes, sizes and bitmaps; of one tile each pair once. Pairs that share a tile of a
+    lower band are left out: they are compared there."""
+    width = min(p.width, q.width)
     x, y = fold(p.bits, width), fold(q.bits, width)
-    out = []
     for i in range(len(q.ids)):
-        upto = i if same else len(p.ids)
+        upto = i if p is q else len(p.ids)
         n, m = p.n[:upto], q.n[i]
         js = np.flatnonzero((root1[:upto] != root2[i]) & (100 * np.minimum(n, m) >= 80 * np.maximum(n, m)))
         if not len(js):
@@ -218,6 +214,31 @@ def forest(p: _Tile, q: _Tile, band: int) -> list[tuple[bytes, bytes]]:
         js = js[alike(np.minimum((total - apart) // 2, least), p.n[js], m)]
         if band and len(js):
             js = js[~(p.tiles[js, :band] == q.tiles[i, :band]).any(axis=1)]
+        if len(js):
+            yield i, js
+
+
+def _roots(p: _Tile, q: _Tile) -> tuple[np.ndarray, np.ndarray]:
+    names = {x: i for i, x in enumerate(dict.fromkeys([*p.label, *q.label]))}
+    root1, root2 = (np.array([names[x] for x in t.label]) for t in (p, q))
+    return (root1, root1) if p is q else (root1, root2)
+
+
+def undecided(p: _Tile, q: _Tile, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which members of p and of q have a pair that sizes and bitmaps leave open."""
+    left, right = np.zeros(len(p.ids), bool), np.zeros(len(q.ids), bool)
+    for i, js in _open(p, q, band, *_roots(p, q)):
+        left[js] = right[i] = True
+    return (left | right,) * 2 if p is q else (left, right)
+
+
+def forest(p: _Tile, q: _Tile, band: int) -> list[tuple[bytes, bytes]]:
+    """Links between members of p and of q (the same tile: between its members) of different
+    labels, as many as bring together what is linked."""
+    root1, root2 = _roots(p, q)
+    out = []
+    for i, js in _open(p, q, band, root1, root2):
+        m = q.n[i]
         while len(js):
             some, js = js[:32], js[32:]
             inter = _exact(q.sets[i], [p.sets[j] for j in some])
@@ -235,7 +256,7 @@ MEMBER = ("skey", "n", "label", "bits", "tiles", "shingles")
 
 
 def _members(batch: pa.RecordBatch, first: int) -> Iterator[tuple]:
-    return zip(*(batch.column(first + i).to_pylist() for i in range(len(MEMBER))))
+    return zip(*(batch.column(i).to_pylist() for i in range(first, batch.num_columns)))
 
 
 def _pairs(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
@@ -264,36 +285,60 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pairs(found)
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, int, _Tile, _Tile]]:
     """Rows (key, low, high, side, band, member...), sorted by the first four and n: two blocks
-    of a tile (sides 0 and 1), or one whose members are compared with each other (side 2)."""
+    of a tile (sides 0 and 1), or one whose members are compared with each other (side 2), as
+    ((key, low, high), band, block, other block or the same)."""
     at, first, rows = None, None, []
 
-    def flush() -> list[tuple[bytes, bytes]]:
+    def closed() -> Iterator[tuple[list, int, _Tile, _Tile]]:
         nonlocal first
         if not rows:
-            return []
+            return
         tile = _Tile(rows)
         rows.clear()
         (*where, side), band = at
         if side == 0:
             first = (where, tile)
-            return []
-        if side == 2:
-            return forest(tile, tile, band)
-        return forest(first[1], tile, band) if first and first[0] == where else []
+        elif side == 2:
+            yield where, band, tile, tile
+        elif first and first[0] == where:
+            yield where, band, first[1], tile
 
     for batch in batches:
-        found = []
         for start in range(0, batch.num_rows, 500):
             b = batch.slice(start, 500)
             for *where, band, row in zip(*(b.column(i).to_pylist() for i in range(5)), _members(b, 5)):
                 if at is None or where != at[0]:
-                    found += flush()
+                    yield from closed()
                     at = (where, band)
                 rows.append(row)
-        yield _pairs(found)
-    yield _pairs(flush())
+    yield from closed()
+
+
+def _across_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows as ``_met`` takes them, without shingles: those that need theirs."""
+    for (key, low, high), band, p, q in _met(batches):
+        left, right = undecided(p, q, band)
+        for side, t, mask in [(2, p, left)] if p is q else [(0, p, left), (1, q, right)]:
+            at = np.flatnonzero(mask).tolist()
+            if at:
+                n = len(at)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([key] * n, pa.int64()), pa.array([low] * n, pa.int64()), pa.array([high] * n, pa.int64()), pa.array([side] * n, pa.int32()), pa.array([band] * n, pa.int32()), pa.array([t.ids[i] for i in at], pa.binary()), pa.array(t.n[at]), pa.array([t.label[i] for i in at], pa.binary())],
+                    names=["key", "low", "high", "side", "band", "skey", "n", "label"],
+                )
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows as ``_met`` takes them; the links of each pair of blocks."""
+    found: list = []
+    for _, band, p, q in _met(batches):
+        found += forest(p, q, band)
+        if len(found) > 10_000:
+            yield _pairs(found)
+            found = []
+    yield _pairs(found)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,8 +439,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             dealt = members.select("key", "part", "skey", "n", "label").join(member, "skey").select("key", "part", *MEMBER)
             dealt = dealt.repartition(parts, "key", "part").sortWithinPartitions("key", "part", F.xxhash64("skey", "key")).mapInArrow(_stars, "a binary, b binary")
         else:
-            dealt = _dealt(members, block).join(member, "skey").select("key", "low", "high", "side", "band", *MEMBER)
-            dealt = dealt.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high", "side", "n", "skey").mapInArrow(_across, "a binary, b binary")
+            block_of, order = ("key", "low", "high"), ("key", "low", "high", "side", "n", "skey")
+            bare = _dealt(members, block).join(classes.select("skey", "bits", "tiles"), "skey").select(*block_of, "side", "band", *MEMBER[:-1])
+            open_ = written(bare.repartition(parts, *block_of).sortWithinPartitions(*order).mapInArrow(_across_open, "key long, low long, high long, side int, band int, skey binary, n long, label binary"), "undecided")
+            dealt = open_.join(member, "skey").select(*block_of, "side", "band", *MEMBER)
+            dealt = dealt.repartition(parts, *block_of).sortWithinPartitions(*order).mapInArrow(_across, "a binary, b binary")
         more = written(dealt.distinct(), "links")
         if more.take(1):
             labels = written(connected_components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b").union(more), "a", "b"), "labels")
