@@ -3,12 +3,14 @@
 A unit vector o is rotated by a fixed random orthogonal matrix; its code is the signs of
 the rotated vector, read as the unit vector x with components +-1/sqrt(D). With the stored
 factor f = <x, o> the estimate <x, q> / f of <o, q> is unbiased over the rotation, with a
-standard error of sqrt((1 - f^2) / f^2 / (D - 1)). q is the other vector's rotated form in
-four bits a component, rounded at random (a fixed dither), which adds a standard error of at
-most half a step. A pair whose estimate plus ``sigmas`` errors stays below the threshold,
+standard error of sqrt((1 - f^2) / f^2 / (D - 1)). Vectors of few components have codes by
+several rotations, 256 bits in all, whose estimates are averaged. q is the other vector's
+rotated form in four bits a component, rounded at random (a fixed dither), which adds a
+standard error of at most half a step. A pair whose estimate plus ``sigmas`` errors stays below the threshold,
 seen from either side, is dropped; all others are recomputed exactly in double precision.
 
-Codes, factors and four-bit forms are computed once and stored: 5 D / 8 + 12 bytes a vector.
+Codes, factors and four-bit forms are computed once and stored: D / 2 + 8 bytes a vector, and
+D / 8 + 4 more for each rotation.
 Pairs to estimate come from tables of k code bits of further rotations (buckets). k grows
 with the logarithm of the number of distinct vectors, and the number of tables is what a
 chance of ``miss`` of losing a pair at the threshold asks for. Only the stored codes are
@@ -48,9 +50,10 @@ def rotations(dim: int, bits: int, tables: int) -> np.ndarray:
 
 
 @functools.lru_cache(maxsize=8)
-def rotation_of(dim: int) -> np.ndarray:
-    """The rotation of the codes."""
-    return np.linalg.qr(np.random.default_rng(SEED).standard_normal((dim, dim)))[0]
+def code_rotations(dim: int) -> tuple[np.ndarray, ...]:
+    """The rotations of the codes, 8 at most."""
+    rng = np.random.default_rng(SEED)
+    return tuple(np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(min(8, -(-256 // dim))))
 
 
 def plan(n: int, threshold: float, miss: float, per_bucket: int = 512) -> tuple[int, int]:
@@ -67,42 +70,48 @@ def code_of(unit: np.ndarray, rotation: np.ndarray) -> tuple[np.ndarray, np.ndar
     return turned, x, (x * turned).sum(axis=1)
 
 
-def estimates(turned: np.ndarray, codes: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """[i, j]: the unbiased estimate of <vector i, vector j> from i itself and j's code."""
-    return (turned.astype(np.float32) @ codes.T.astype(np.float32)) / factors[None, :].astype(np.float32)
+# ---- stored codes: signs by each rotation, four-bit components by the first, factors,
+# ---- smallest component, step
 
-
-# ---- stored codes: signs, four-bit components, factor, smallest component, step
-
-def packed_codes(unit: np.ndarray, rotation: np.ndarray) -> np.ndarray:
+def packed_codes(unit: np.ndarray) -> np.ndarray:
     """[vector, byte] of unit vectors."""
     n, dim = unit.shape
-    turned, _, factor = code_of(unit, rotation)
+    coded = [code_of(unit, r) for r in code_rotations(dim)]
+    turned = coded[0][0]
     low = turned.min(axis=1)
     step = np.maximum((turned.max(axis=1) - low) / 15, 1e-12)
     dither = np.random.default_rng(SEED + 2).random(dim)
     levels = np.clip(np.floor((turned - low[:, None]) / step[:, None] + dither), 0, 15).astype(np.uint8)
     levels = np.concatenate([levels, np.zeros((n, dim % 2), np.uint8)], axis=1)
-    numbers = np.stack([factor, low, step], axis=1).astype("<f4")
-    return np.concatenate([np.packbits(turned >= 0, axis=1), levels[:, ::2] << 4 | levels[:, 1::2], numbers.view(np.uint8)], axis=1)
+    numbers = np.stack([*(f for _, _, f in coded), low, step], axis=1).astype("<f4")
+    return np.concatenate([*(np.packbits(t >= 0, axis=1) for t, _, _ in coded), levels[:, ::2] << 4 | levels[:, 1::2], numbers.view(np.uint8)], axis=1)
 
 
 def unpacked_codes(raw: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Codes (+-1/sqrt(D)), four-bit components, factors and steps."""
-    at, to = -(-dim // 8), -(-dim // 8) + -(-dim // 2)
-    x = (np.unpackbits(raw[:, :at], axis=1)[:, :dim].astype(np.float32) * 2 - 1) / np.float32(math.sqrt(dim))
+    """The mean over the rotations of code / factor, turned into the first one's frame; four-bit
+    components; squared standard errors of an estimate by the codes; steps."""
+    rotations_, width = code_rotations(dim), -(-dim // 8)
+    at, r = width * len(rotations_), len(rotations_)
+    to = at + -(-dim // 2)
     numbers = np.ascontiguousarray(raw[:, to:]).view("<f4")
+    x = np.zeros((len(raw), dim), np.float32)
+    for k, rotation in enumerate(rotations_):
+        signs = np.unpackbits(raw[:, k * width : (k + 1) * width], axis=1)[:, :dim].astype(np.float32) * 2 - 1
+        signs /= np.float32(r * math.sqrt(dim)) * numbers[:, k : k + 1]
+        x += signs if k == 0 else signs @ (rotation.T @ rotations_[0]).astype(np.float32)
+    f2 = numbers[:, :r].astype(np.float64) ** 2
+    spread = (np.maximum(0, 1 - f2) / f2).sum(axis=1) / (r * r * max(1, dim - 1))
     levels = np.stack([raw[:, at:to] >> 4, raw[:, at:to] & 15], axis=2).reshape(len(raw), -1)[:, :dim]
-    return x, levels * numbers[:, 2:] + numbers[:, 1:2], numbers[:, 0], numbers[:, 2]
+    return x, levels * numbers[:, r + 1 :] + numbers[:, r : r + 1], spread, numbers[:, r + 1].astype(np.float64)
 
 
-def undecided(a: tuple, b: tuple, dim: int, threshold: float, sigmas: float) -> Iterator[tuple[int, np.ndarray]]:
+def undecided(a: tuple, b: tuple, threshold: float, sigmas: float) -> Iterator[tuple[int, np.ndarray]]:
     """(first row of a, mask [row of a, row of b]) of the pairs that the bounds don't exclude;
     a and b as ``unpacked_codes`` gives them."""
 
-    def bound(q: np.ndarray, q_step: np.ndarray, x: np.ndarray, f: np.ndarray) -> np.ndarray:
-        spread = np.maximum(0, 1 - f * f) / max(1, dim - 1)
-        return (q @ x.T + sigmas * np.sqrt(spread[None, :] + (q_step * q_step / 4)[:, None]).astype(np.float32)) / f[None, :]
+    def bound(q: np.ndarray, q_step: np.ndarray, x: np.ndarray, spread: np.ndarray) -> np.ndarray:
+        size = (x * x).sum(axis=1)
+        return q @ x.T + np.sqrt(sigmas * sigmas * (spread[None, :] + size[None, :] * (q_step * q_step / 4)[:, None])).astype(np.float32)
 
     (x1, q1, f1, s1), (x2, q2, f2, s2) = a, b
     for low in range(0, len(x1), 512):
@@ -145,7 +154,7 @@ def _coded(bits: int, tables: int):
                     b = part.filter(pa.array(dims == dim))
                     v = _unit(_matrix(b.column(2), dim))
                     keys = _bucket_keys(v, rotations(dim, bits, tables), bits, tables) + (np.arange(tables, dtype=np.int64) << 32)
-                    raw = packed_codes(v, rotation_of(dim))
+                    raw = packed_codes(v)
                     code = pa.FixedSizeBinaryArray.from_buffers(pa.binary(raw.shape[1]), len(raw), [None, pa.py_buffer(np.ascontiguousarray(raw))]).cast(pa.binary())
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables, dtype=np.int32)), pa.array(keys.reshape(-1)))
                     yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), code, lists], names=["id", "dim", "code", "buckets"])
@@ -196,7 +205,7 @@ def _open(threshold: float, sigmas: float):
             a = unpacked_codes(r1, dim)
             b = a if same else unpacked_codes(r2, dim)
             left, right = np.zeros(len(ids1), bool), np.zeros(len(ids2), bool)
-            for start, can in undecided(a, b, dim, threshold, sigmas):
+            for start, can in undecided(a, b, threshold, sigmas):
                 if same:
                     can[np.arange(len(can)), np.arange(start, start + len(can))] = False
                 left[start : start + len(can)] |= can.any(axis=1)
@@ -229,12 +238,13 @@ def _bucket_links(bits: int, tables: int, threshold: float, sigmas: float):
     def compare(dim: int, t: int, a: tuple, b: tuple, same: bool):
         ids1, v1, w1 = a
         ids2, v2, w2 = b
-        planes, rotation = rotations(dim, bits, tables), rotation_of(dim)
+        planes = rotations(dim, bits, tables)
         u1, u2 = _unit(v1), _unit(v2)
         k1, k2 = _bucket_keys(u1, planes, bits, tables)[:, :t], _bucket_keys(u2, planes, bits, tables)[:, :t]
-        c1, c2 = unpacked_codes(packed_codes(u1, rotation), dim), unpacked_codes(packed_codes(u2, rotation), dim)
+        c1 = unpacked_codes(packed_codes(u1), dim)
+        c2 = c1 if same else unpacked_codes(packed_codes(u2), dim)
         out = []
-        for low, can in undecided(c1, c2, dim, threshold, sigmas):
+        for low, can in undecided(c1, c2, threshold, sigmas):
             i, j = np.nonzero(can)
             i += low
             if same:
